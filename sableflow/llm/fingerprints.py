@@ -115,22 +115,22 @@ def _pairs_of(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (starts[:0], starts[:0])
 
 
-def bucket_pairs(keyed: DataFrame, most: int | None, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def bucket_pairs(keyed: DataFrame, most: int | None, marked: bool = False) -> DataFrame:
     """Pairs of ids that share a key, as (a, b, null), reading each key's rows as one sorted stream.
 
     A key with more than `most` rows is emitted row by row as (id, null, key) instead, for refinement: no group is
-    gathered, however large. wanted says which positions' pairs are needed, from the ids of both sides.
+    gathered, however large. marked: keyed has a column `new`, and only pairs whose later id is new are wanted.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, hot = np.empty(0, np.int64), np.empty(0, np.int64), None
+        keys, ids, new, hot = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), None
 
         def out(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(a), 200_000):
                 part, none = slice(i, i + 200_000), pa.nulls(len(a[i : i + 200_000]), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(a[part]), none if b is None else pa.array(b[part]), none if key is None else pa.array(key[part])], names=["a", "b", "hot"])
 
-        def flush(k: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def flush(k: np.ndarray, x: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(k):
                 return
             starts, sizes = _in_groups(k)
@@ -140,36 +140,37 @@ def bucket_pairs(keyed: DataFrame, most: int | None, wanted: Callable[[np.ndarra
                 yield from out(x[rows], None, k[rows])
             some = (sizes > 1) & ~big
             a, b = _pairs_of(starts[some], sizes[some])
-            a, b = x[a], x[b]
-            keep = a != b if wanted is None else (a != b) & wanted(a, b)
-            a, b = a[keep], b[keep]
-            yield from out(np.minimum(a, b), np.maximum(a, b), None)
+            keep = (x[a] != x[b]) & (not marked or fresh[b] == 1)  # rows of a key are sorted by id
+            yield from out(x[a[keep]], x[b[keep]], None)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
             ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
+            new = np.concatenate([new, batch.column(2).to_numpy(zero_copy_only=False)])
             if hot is not None:  # the group that is streamed out already may go on
                 n = int(np.searchsorted(keys != hot, True)) if (keys != hot).any() else len(keys)
                 yield from out(ids[:n], None, keys[:n])
-                keys, ids = keys[n:], ids[n:]
+                keys, ids, new = keys[n:], ids[n:], new[n:]
                 hot = hot if not len(keys) else None
             if not len(keys):
                 continue
             open_ = int(np.flatnonzero(keys != keys[-1])[-1] + 1) if keys[0] != keys[-1] else 0
-            yield from flush(keys[:open_], ids[:open_])
-            keys, ids = keys[open_:], ids[open_:]
+            yield from flush(keys[:open_], ids[:open_], new[:open_])
+            keys, ids, new = keys[open_:], ids[open_:], new[open_:]
             if most and len(keys) > most:
                 hot = keys[-1]
                 yield from out(ids, None, keys)
-                keys, ids = keys[:0], ids[:0]
-        yield from flush(keys, ids)
+                keys, ids, new = keys[:0], ids[:0], new[:0]
+        yield from flush(keys, ids, new)
 
-    return keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id").mapInArrow(of, PAIRS)
+    if not marked:
+        return keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", F.lit(1).cast("bigint").alias("new")).mapInArrow(of, PAIRS)
+    return keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "new").mapInArrow(of, PAIRS)
 
 
-def candidate_pairs(fps: DataFrame, keys_of: Callable, most: int = 200, wanted: Callable | None = None) -> DataFrame:
+def candidate_pairs(fps: DataFrame, keys_of: Callable, most: int = 200) -> DataFrame:
     """Distinct pairs (a < b) of ids whose fingerprints share the key of a segment.
 
     Segments shared by more than `most` fingerprints are refined: their rows meet again under that segment's key
@@ -177,13 +178,13 @@ def candidate_pairs(fps: DataFrame, keys_of: Callable, most: int = 200, wanted:
     """
     from sableflow.session import saved
 
-    first = saved(bucket_pairs(segment_keys(fps, keys_of), most, wanted).distinct())
+    first = saved(bucket_pairs(segment_keys(fps, keys_of), most).distinct())
     pairs, hot = first.where("b is not null").select("a", "b"), first.where("b is null")
     if hot.isEmpty():
         return pairs
     rows = hot.select(F.col("a").alias("id"), "hot").join(fps, "id")
     again = segment_keys(rows, keys_of, "hot").where("key != hot").select(F.xxhash64("key", "hot").alias("key"), "id")
-    return pairs.unionByName(bucket_pairs(again, None, wanted).select("a", "b")).distinct()
+    return pairs.unionByName(bucket_pairs(again, None).select("a", "b")).distinct()
 
 
 def most_bits(threshold: float, sigmas: float = 6.0) -> int:

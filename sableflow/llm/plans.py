@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sableflow.llm.arrivals import ArrivalStore
 from sableflow.llm.near_duplicates import duplicate_pairs, near_duplicates
-from sableflow.session import table
+from sableflow.session import shared_folder, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +17,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_pairs(*near_duplicates(rows, run=3, threshold=0.6)).select(F.col("a").alias("news_a"), F.col("b").alias("news_b"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted articles are the history; all twelve batches are checked against it and each other in the order of arrival."""
+    store = ArrivalStore(spark, f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}", run=3, threshold=0.6)
+    news = table(spark, sf_dir, "news")
+    store.append(news.select((-1 - F.col("news_no")).alias("id"), F.col("id").alias("doc"), "text"))
+    batch = table(spark, sf_dir, "news_incoming").select(F.col("inc_no").alias("id"), F.col("id").alias("doc"), "text")
+    return store.check(batch, append=False).select(F.col("id").alias("inc_no")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
 ORACLE: dict[str, str] = {}
