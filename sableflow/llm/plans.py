@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableflow.llm.arrivals import ArrivalStore
+from sableflow.llm.leaks import leaked_items
 from sableflow.llm.near_duplicates import duplicate_pairs, near_duplicates
 from sableflow.session import shared_folder, table
 
@@ -26,5 +27,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.check(batch, append=False).select(F.col("id").alias("inc_no")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
