@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sableflow.llm.arrivals import ArrivalStore
 from sableflow.llm.leaks import leaked_items
 from sableflow.llm.near_duplicates import duplicate_pairs, near_duplicates
+from sableflow.llm.sentences import split_sentences
 from sableflow.session import shared_folder, table
 
 
@@ -31,5 +32,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "end_pos")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
