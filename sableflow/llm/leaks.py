@@ -171,18 +171,44 @@ class ItemIndex:
         return np.stack([doc[first], item[first], low, high, top, bottom])
 
     def verify(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
-        """Which regions hold a part of the item within the edit budget."""
+        """Which regions hold a part of the item within the edit budget.
+
+        Item words further off than a part from all shared q-grams can't matter.
+        """
         ok = np.zeros(len(doc), bool)
-        width = high - low + 7
-        for part in np.unique(self.part[item]):
-            for wide in (16, 32, 64, 1 << 30):
-                some = np.flatnonzero((self.part[item] == part) & (width <= wide) & (width > {16: 0, 32: 16, 64: 32}.get(wide, 64)))
-                some = some[np.argsort((bottom - top)[some], kind="stable")]
-                for i in range(0, len(some), 64):
-                    x = some[i : i + 64]
-                    ok[x] = self._align(docs, doc[x], item[x], low[x] - 3, int(width[x].max()), int(part), top[x] - part, bottom[x] + part + 1)
+        low, width = low - 3, high - low + 7
+        top, bottom = np.maximum(top - self.part[item], 0), bottom + self.part[item] + 1
+        for test, size in ((self._plausible, 256), (self._align, 64)):
+            passed = np.zeros(len(doc), bool)
+            for part in np.unique(self.part[item]):
+                for wide in (16, 32, 64, 1 << 30):
+                    some = np.flatnonzero((self.part[item] == part) & (width <= wide) & (width > {16: 0, 32: 16, 64: 32}.get(wide, 64)))
+                    some = some[np.argsort((bottom - top)[some], kind="stable")]
+                    for i in range(0, len(some), size):
+                        x = some[i : i + size]
+                        passed[x] = test(docs, doc[x], item[x], low[x], int(width[x].max()), int(part), top[x], bottom[x])
+            if test == self._align:
+                ok[left] = passed
+            else:
+                left = np.flatnonzero(passed)
+                doc, item, low, width, top, bottom = (x[passed] for x in (doc, item, low, width, top, bottom))
         return ok
 
+    def _plausible(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, part: int, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        """Whether in some part all but the edited words (and one more) stand somewhere in the band, in whatever order."""
+        st, n_items, n_docs = self.stream, np.diff(self.stream.text_at)[item], np.diff(docs.text_at)[doc]
+        rows = int((np.minimum(bottom, n_items) - top).max())
+        at_i = top[:, None] + np.arange(rows)
+        at_d = at_i[:, :, None] + low[:, None, None] + np.arange(width)
+        here, there = at_i < n_items[:, None], (at_d >= 0) & (at_d < n_docs[:, None, None])
+        at_i, at_d = np.where(here, st.text_at[item][:, None] + at_i, 0), np.where(there, docs.text_at[doc][:, None, None] + at_d, 0)
+        word, glued, d = st.words[at_i][:, :, None], st.pairs[at_i][:, :, None], docs.words[at_d]
+        same = (d == word) | (d == glued) | (docs.pairs[at_d] == word)
+        same[:, 1:] |= d[:, 1:] == glued[:, :-1]
+        total = np.cumsum(np.pad((same & there).any(axis=2) & here, ((0, 0), (1, 0))), axis=1)
+        most = (total[:, part:] - total[:, :-part]).max(axis=1) if rows >= part else total[:, -1]
+        return most >= part - int(part * self.s.edits) - 1
+
     def _align(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, part: int, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
         """Banded alignment of many regions at once.
 
@@ -191,7 +217,6 @@ class ItemIndex:
         """
         st, cost, never = self.stream, round(1 / self.s.edits) if self.s.edits else 10_000, -30_000
         n_items, n_docs = np.diff(st.text_at)[item], np.diff(docs.text_at)[doc]
-        top = np.maximum(top, 0)  # item words further off than a part from all shared q-grams can't matter
         rows, c = int((np.minimum(bottom, n_items) - top).max()), len(doc)
 
         def fetch(values: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, fill: int) -> np.ndarray:
@@ -280,7 +305,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings = Se
         def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-                for a, b in chunks(texts, 1 << 19) if shared else []:
+                for a, b in chunks(texts, 1 << 21) if shared else []:
                     d, i = shared.value.leaks(ids[a:b], texts[a:b])
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64())], names=["doc_id", "item_id"])
 
