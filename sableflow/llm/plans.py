@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sableflow.llm.arrivals import ArrivalStore
+from sableflow.llm.languages import fit, identify, label_code, relabel
 from sableflow.llm.leaks import leaked_items
 from sableflow.llm.near_duplicates import duplicate_pairs, near_duplicates
+from sableflow.llm.packing import fill_rate, pack
 from sableflow.llm.sentences import split_sentences
+from sableflow.llm.splitting import split_texts
 from sableflow.session import shared_folder, table
 
 
@@ -36,5 +39,46 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "end_pos")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p9_found": p9_found, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "news").select(F.col("news_no").alias("id"), "title", "text", F.get_json_object("metadata", "$.language").alias("label"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relabel(_labelled(spark, sf_dir)).select(F.col("id").alias("news_no"), "lang")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and paragraph with its language and confidence."""
+    rows = _labelled(spark, sf_dir)
+    return identify(rows, fit(rows.select("id", "title", "text", label_code(F.col("label")).alias("label")))).withColumnRenamed("id", "news_no")
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_texts(table(spark, sf_dir, "news").select(F.col("news_no").alias("id"), "text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece_no = 2").select(F.col("id").alias("news_no"))
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all texts that were cut."""
+    x = _pieces(spark, sf_dir)
+    return x.where("piece_no > 1").withColumnRenamed("id", "news_no")
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_rate(pack(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p7_found": p7_found, "p7_pieces": p7_pieces,
+    "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found,
+}
+ORACLE: dict[str, str] = {
+    "p7_found": "SELECT news_no FROM news WHERE length(text) > 4000",
+}
