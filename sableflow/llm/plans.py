@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from sableflow.llm.arrivals import ArrivalStore
 from sableflow.llm.languages import fit, identify, label_code, relabel
 from sableflow.llm.leaks import leaked_items
+from sableflow.llm.linkage import link
 from sableflow.llm.near_duplicates import duplicate_pairs, near_duplicates
 from sableflow.llm.packing import fill_rate, pack
 from sableflow.llm.sentences import split_sentences
 from sableflow.llm.splitting import split_texts
+from sableflow.operators.timestamps import normalise, stated_times
 from sableflow.session import shared_folder, table
 
 
@@ -53,6 +55,19 @@ def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, fit(rows.select("id", "title", "text", label_code(F.col("label")).alias("label")))).withColumnRenamed("id", "news_no")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_links(spark, sf_dir).select("sot_no", "pred_no")
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their confidence."""
+    sot, pred = table(spark, sf_dir, "sot_sugar"), table(spark, sf_dir, "sugar_complete_dataset_with_predictions")
+    instants = normalise(stated_times(None, sot, None), table(spark, sf_dir, "feeds")).where("utc_us is not null")
+    left = sot.join(instants, F.col("sot_no") == F.col("row_no")).select(F.col("sot_no").alias("id"), "title", F.col("utc_us").alias("us"))
+    right = pred.select(F.col("pred_no").alias("id"), "title", F.unix_micros(F.col("datetime").cast("timestamp")).alias("us"))
+    return link(left, right).select(F.col("left_id").alias("sot_no"), F.col("right_id").alias("pred_no"), F.round("confidence", 6).alias("confidence"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "news").select(F.col("news_no").alias("id"), "text"))
 
@@ -76,7 +91,8 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p7_found": p7_found, "p7_pieces": p7_pieces,
+    "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_links": p6_links,
+    "p7_found": p7_found, "p7_pieces": p7_pieces,
     "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {
