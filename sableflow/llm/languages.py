@@ -75,7 +75,7 @@ _NAME_FIRST = re.compile(r"(?:^|(?<=[.!?:»”\"] ))[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'
 
 def plain(segment: str) -> str:
     """The segment without markup and, unless it is all in capitals, without capitalised words inside sentences."""
-    s = _TAG.sub(" ", segment)
+    s = _TAG.sub(" ", segment.replace("\x00", " "))
     if any(map(str.islower, s)) or not any(map(str.isupper, s)):
         s = _CAPITAL.sub(" ", _NAME_FIRST.sub(" ", s))
     return s.lower()
@@ -84,7 +84,9 @@ def plain(segment: str) -> str:
 def encode(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all segments, each led by ORDER - 1 spaces, and where each begins."""
     lead = "\x00" * (ORDER - 1)
-    raw = code_points(lead + lead.join(plain(s) + " " for s in segments)) if segments else np.empty(0, np.uint32)
+    parts = [lead + plain(s) + " " for s in segments]
+    raw = code_points("".join(parts))
+    begin = np.r_[0, np.cumsum([len(p) for p in parts])][: len(parts)].astype(np.int64)
     cls = classes()[raw]
     digit = (raw >= 48) & (raw <= 57) | (raw >= 0x966) & (raw <= 0x96F) | (raw >= 0x660) & (raw <= 0x669)
     space = ((cls == 0) | digit) & (raw != 0)
@@ -92,9 +94,7 @@ def encode(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     led = raw == 0
     after_space = np.r_[True, (codes[:-1] == _SPACE)]
     keep = led | ~((codes == _SPACE) & after_space)
-    codes, led = codes[keep], led[keep]
-    starts = np.flatnonzero(led & ~np.r_[False, led[:-1]])
-    return codes, starts
+    return codes[keep], (np.cumsum(keep) - 1)[begin]
 
 
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
