@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sableflow.plans import core_problems
+from sableflow.plans import core_problems, signals
 
-_MODULES = [core_problems]
+_MODULES = [core_problems, signals]
 
 
 def queries() -> dict:
