@@ -195,7 +195,8 @@ def lower(node: Node) -> Node:
     if node.op == "ewm":
         return n / d
     mean, square, weights = n / d, _weighted_sum(v * v, keep, rows) / d, _weighted_sum(here, keep * keep, rows)
-    spread = ts_clip(square - mean * mean, lo=0.0)
+    spread = square - mean * mean
+    spread = ts_where(spread, spread > square * 1e-12, 0.0)
     room = d * d - weights  # 0 for a single value, but for rounding
     return ts_pow(spread * d * d / ts_where(room, room > d * d * 1e-9, None), 0.5)
 
@@ -453,7 +454,8 @@ def _sql_of(node: Node, xs: list[str]) -> str:  # noqa: PLR0911, PLR0912
             return f"({m})"
         q = f"list_sum(list_transform({c}, lambda e, i: coalesce(e * e, 0) * {w})) / nullif({d}, 0)"
         s = f"list_sum(list_transform({c}, lambda e, i: CASE WHEN e IS NULL THEN 0 ELSE {w} * {w} END))"
-        return f"sqrt(greatest(({q}) - ({m}) * ({m}), 0) * {d} * {d} / CASE WHEN {d} * {d} - {s} > 1e-9 * {d} * {d} THEN {d} * {d} - {s} END)"
+        spread = f"CASE WHEN ({q}) - ({m}) * ({m}) > 1e-12 * ({q}) THEN ({q}) - ({m}) * ({m}) ELSE 0 END"
+        return f"sqrt({spread} * {d} * {d} / CASE WHEN {d} * {d} - {s} > 1e-9 * {d} * {d} THEN {d} * {d} - {s} END)"
     if op in ("corr", "cov"):
         n, y = p[0], xs[1]
         cov = f"covar_samp({x}, {y}) {over(n)}"
