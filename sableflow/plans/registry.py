@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sableflow.plans import backtests, core_problems, signals
+from sableflow.plans import backtests, core_problems, signals, warehouse
 
-_MODULES = [core_problems, backtests, signals]
+_MODULES = [core_problems, backtests, signals, warehouse]
 
 
 def queries() -> dict:
