@@ -94,7 +94,7 @@ class ArrivalStore:
         return by_id.unionByName(by_text).unionByName(by_links)
 
     def _candidates(self, fresh: DataFrame, fps: DataFrame, most: int) -> DataFrame:
-        """Pairs (earlier, arrival) that share a block. The hot blocks are refined by pairs of blocks."""
+        """Pairs (earlier, arrival) that share a block. Hot blocks are refined."""
         new = fp.segment_keys(fresh, block_words).withColumn("new", F.lit(1).cast("bigint"))
         keyed = self.blocks().withColumn("new", F.lit(0).cast("bigint")).unionByName(new)
         first = saved(fp.bucket_pairs(keyed, most, marked=True).distinct())
@@ -102,7 +102,7 @@ class ArrivalStore:
         if hot.isEmpty():
             return pairs
         rows = hot.select(F.col("a").alias("id"), "hot").join(fps, "id")
-        again = fp.segment_keys(rows, block_words, "hot").where("key != hot").select(F.xxhash64("key", "hot").alias("key"), "id")
+        again = fp.refined_keys(rows, block_words)
         again = again.join(fresh.select("id", F.lit(1).cast("bigint").alias("new")), "id", "left").select("key", "id", F.coalesce("new", F.lit(0).cast("bigint")).alias("new"))
         return pairs.unionByName(fp.bucket_pairs(again, None, marked=True).select("a", "b")).distinct()
 
