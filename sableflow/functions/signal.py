@@ -139,20 +139,23 @@ def _span_rows(alpha: float) -> int:
     return 1 + math.ceil(math.log(_TINY) / math.log(1 - alpha))
 
 
+def _exponential(op: str, x: Node, a: float) -> Node:
+    """Formed at values only; rows without a value keep the last result for as long as weights count."""
+    n = _span_rows(a)
+    return ts_ffill(ts_where(Node(op, (x,), (n, a)), ~is_null(x), None), n)
+
+
 def ts_ewm(x: Node, span: float) -> Node:
-    a = 2 / (span + 1)
-    return Node("ewm", (x,), (_span_rows(a), a))
+    return _exponential("ewm", x, 2 / (span + 1))
 
 
 def smooth_data(x: Node, halflife: float) -> Node:
-    a = 1 - 0.5 ** (1 / halflife)
-    return Node("ewm", (x,), (_span_rows(a), a))
+    return _exponential("ewm", x, 1 - 0.5 ** (1 / halflife))
 
 
 def ewm_std(x: Node, halflife: float) -> Node:
     """Unbiased, as pandas' ewm().std()."""
-    a = 1 - 0.5 ** (1 / halflife)
-    return Node("ewm_std", (x,), (_span_rows(a), a))
+    return _exponential("ewm_std", x, 1 - 0.5 ** (1 / halflife))
 
 
 def compute_z_score(x: Node, mean_halflife: float, volatility_halflife: float, subtract_mean: bool = True, cap: float = 3.0) -> Node:

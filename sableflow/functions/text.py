@@ -88,7 +88,7 @@ def row_fields(line: Column) -> Column:
 def content_text(c: Column) -> Column:
     """Lower case without addresses, punctuation and repeated white space: what two deliveries of one text share."""
     c = F.lower(c)
-    for pattern in (r"https?://\S+|www\.\S+", r"\S+@\S+\.\S+", r"[^\p{L}\p{M}\p{Nd}\s]", r"\s+"):
+    for pattern in (r"https?://\S+|www\.\S+", r"[^\s@]{1,64}@[^\s@]+", r"[^\p{L}\p{M}\p{Nd}\s]", r"\s+"):
         c = F.regexp_replace(c, pattern, " ")
     return F.trim(c)
 

@@ -63,8 +63,8 @@ def structured_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("content_key", r"""
 SELECT news_no, md5(concat(coalesce(n1, ''), '|', coalesce(n2, ''), '|', coalesce(lower(trim(source)), ''))) AS k FROM (SELECT news_no, source,
- trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\S+|www\.\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n1,
- trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '\S+@\S+\.\S+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n2 FROM news)
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\s@]{1,64}@[^\s@]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n1,
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\s@]{1,64}@[^\s@]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n2 FROM news)
 """)
 def content_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news").select("news_no", t.content_key(F.col("title"), F.col("text"), F.col("source")).alias("k"))
