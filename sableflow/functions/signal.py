@@ -3,7 +3,8 @@
 Nodes are values (equal expressions are one node). Compiling gives every windowed node one column in the stage after its
 children's, so sub-expressions that several signals share are computed once, and all frames over (asset, date) share one
 exchange and one sort. Missing values are nulls, never NaN; a rolling operator gives a value only where its window is
-full of values; division by zero gives null. Everything runs in the JVM.
+full of values; division by zero gives null. Comparisons and cross-sectional ranks look at nine decimals, so that the mean of
+equal values equals them whatever the order of summation. Everything runs in the JVM.
 
 Semantics of the operators follow pandas where it has them: rolling(n) with min_periods=n, sample deviations, average
 ties in ranks, bias-corrected skewness, ewm(adjust=True, ignore_na=False). Exponential weights are cut off where they
@@ -276,6 +277,7 @@ def _spark_window(node: Node, xs: list[Column], part: list[str]) -> Column:
         return {"cumprod": F.product, "cummax": F.max, "cumsum": F.sum}[op](x).over(order.rowsBetween(Window.unboundedPreceding, 0))
     day = Window.partitionBy("date")
     if op == "xrank":
+        x = F.round(x, 9)
         by = Window.partitionBy("date").orderBy(x.asc_nulls_last())
         ties = Window.partitionBy("date", x)
         return F.when(x.isNotNull(), (F.rank().over(by) + (F.count("*").over(ties) - 1) / F.lit(2.0)) / F.count(x).over(day))
@@ -295,8 +297,8 @@ def _spark_scalar(node: Node, xs: list[Column]) -> Column:
     if op == "div":
         return F.try_divide(xs[0], xs[1])
     if op in _COMPARE:
-        a, b = xs
-        return {"gt": a > b, "ge": a >= b, "lt": a < b, "le": a <= b, "eq": a == b, "ne": a != b}[op]
+        gap = F.round((xs[0] - xs[1]).cast("double"), 9)
+        return {"gt": gap > 0, "ge": gap >= 0, "lt": gap < 0, "le": gap <= 0, "eq": gap == 0, "ne": gap != 0}[op]
     if op in ("and", "or"):
         a, b = (F.coalesce(x, F.lit(False)) for x in xs)
         return a & b if op == "and" else a | b
@@ -481,6 +483,7 @@ def _sql_of(node: Node, xs: list[str]) -> str:  # noqa: PLR0911, PLR0912
     if op in ("cumprod", "cummax", "cumsum"):
         return f"{ {'cumprod': 'product', 'cummax': 'max', 'cumsum': 'sum'}[op] }({x}) OVER ({a} ROWS UNBOUNDED PRECEDING)"
     if op == "xrank":
+        x = f"round({x}, 9)"
         return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} ASC NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY date) END"
     if op == "xscale":
         return f"({x} / nullif(sum(abs({x})) OVER (PARTITION BY date), 0))"
@@ -493,7 +496,7 @@ def _sql_of(node: Node, xs: list[str]) -> str:  # noqa: PLR0911, PLR0912
     if op == "div":
         return f"({x} / nullif({xs[1]}, 0))"
     if op in _COMPARE:
-        return f"({x} {_COMPARE[op]} {xs[1]})"
+        return f"(round(CAST({x} - {xs[1]} AS DOUBLE), 9) {_COMPARE[op]} 0)"
     if op in ("and", "or"):
         return f"(coalesce({x}, false) {op.upper()} coalesce({xs[1]}, false))"
     if op == "not":
