@@ -83,3 +83,11 @@ def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def read_jdbc(spark: SparkSession, url: str, table_or_query: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A database table (or a query in brackets with an alias). With a numeric key the read is split into ranges; filters and columns are pushed down."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table_or_query).options(**options)
+    if key:
+        reader = reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
