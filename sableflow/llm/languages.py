@@ -372,8 +372,9 @@ def identify(rows: DataFrame, identifier: Identifier) -> DataFrame:
 
 
 def documents_languages(segments: DataFrame, sure: float = 0.95, least_letters: int = 8) -> DataFrame:
-    """(id, lang, letters, confidence): the languages really present in each document."""
-    good = segments.where((F.col("lang") != "und") & (F.col("confidence") >= sure) & (F.col("letters") >= least_letters))
+    """(id, lang, letters, confidence): the languages really present in each document. A character of Chinese or Japanese says as much as two letters."""
+    weight = F.when(F.col("lang").isin("zh", "ja"), 2 * F.col("letters")).otherwise(F.col("letters"))
+    good = segments.where((F.col("lang") != "und") & (F.col("confidence") >= sure) & (weight >= least_letters))
     return good.groupBy("id", "lang").agg(F.sum("letters").alias("letters"), F.max("confidence").alias("confidence"))
 
 
