@@ -14,7 +14,7 @@ from sableflow.llm.linkage import link
 from sableflow.llm.near_duplicates import duplicate_pairs, near_duplicates
 from sableflow.llm.packing import fill_rate, pack
 from sableflow.llm.sentences import split_sentences
-from sableflow.llm.splitting import split_texts
+from sableflow.llm.splitting import LIMIT, split_texts
 from sableflow.operators.timestamps import normalise, stated_times
 from sableflow.session import shared_folder, table
 
@@ -77,9 +77,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all texts that were cut."""
-    x = _pieces(spark, sf_dir)
-    return x.where("piece_no > 1").withColumnRenamed("id", "news_no")
+    """All pieces, from the first, of the texts that were cut: those over the limit of a piece."""
+    long = table(spark, sf_dir, "news").where(F.char_length("text") > LIMIT)
+    return split_texts(long.select(F.col("news_no").alias("id"), "text"), LIMIT).withColumnRenamed("id", "news_no")
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

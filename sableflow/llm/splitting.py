@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LIMIT = 4000
+
+
 def piece_pattern(most: int, least: int) -> str:
     """Alternatives by strength of boundary; each takes at most `most` code points and, save the rest and the last two, at least `least`."""
     return "|".join([
@@ -38,7 +41,7 @@ def overlap_of(before: Column, overlap: int) -> Column:
     return F.coalesce(F.nullif(sentence, F.lit("")), F.nullif(word, F.lit("")), F.right(before, F.lit(overlap)))
 
 
-def split_texts(rows: DataFrame, limit: int = 4000, overlap: int = 200) -> DataFrame:
+def split_texts(rows: DataFrame, limit: int = LIMIT, overlap: int = 200) -> DataFrame:
     """rows: id, text. One row per piece: id, piece_no (from 1), start_pos (without the overlap), n_overlap, piece."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")

@@ -85,3 +85,14 @@ def test_fill(spark, sf):
 
 def test_pack_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_pieces_of_cut_texts_are_whole(spark, tmp_path):
+    from sableflow.llm.plans import p7_pieces
+
+    news = [(1, "Sugar rose again today. " * 400), (2, "short"), (3, "x" * 4000), (4, "x" * 4001), (5, None)]
+    spark.createDataFrame(news, "news_no bigint, text string").write.parquet(str(tmp_path / "news.parquet"))
+    made: dict = {}
+    for r in p7_pieces(spark, str(tmp_path)).orderBy("news_no", "piece_no").collect():
+        made[r.news_no] = made.get(r.news_no, "") + r.piece[r.n_overlap :]
+    assert made == {k: t for k, t in news if t and len(t) > 4000}
