@@ -1,10 +1,12 @@
 """Matching headlines of two sources without a shared key: probabilistic record linkage.
 
-1. Blocking in several passes: a title's rare words, whole, by their first and by their last five letters, each with a
-   time bin as wide as the longest gap allowed (one side enters its neighbouring bins too).
+1. Blocking in several passes: a title's names, whole, by their first and by their last five letters, each with a
+   time bin as wide as the longest gap allowed (one side enters its neighbouring bins too). Names are rare words and
+   hot ones: frequent words that titles write with a capital inside. Blocks of hot words are whole too, only larger.
 2. Comparison of each candidate pair in agreement levels: names, numbers, wording, time. Names are the rare words of the
    left title, found in the right one up to small typing errors; a title cut off by an ellipsis cannot disagree about
-   what it lost. Wording asks how well the right title's common words go with the left one's, by associations counted
+   what it lost. Hot words are the names of a title without rare words; in others they can only add agreement, where
+   half of all names or more are found and no rare name stands in the place of the lost ones, since company forms and German nouns have capitals as well. Wording asks how well the right title's common words go with the left one's, by associations counted
    over all pairs whose names agree, so paraphrases count as agreement and other news about the same names does not.
 3. Expectation-maximisation over the counts of comparison patterns gives, for each level, its probability among
    matches and non-matches, and the posterior of a match is the pair's confidence.
@@ -13,7 +15,7 @@ Rows of one side with the same title and instant are compared once and expanded
 counts and associations cover all rows; the driver gets pattern counts (at most 81) and the associations of common
 words only, whose number is bounded by their least share of all titles.
 
-Defined results: rows without title, instant or any rare word match nothing; repeated rows match each; equal titles
+Defined results: rows without title, instant or any word of four letters or more match nothing; repeated rows match each; equal titles
 outside the gap do not match; an empty table gives no rows; further columns are ignored.
 """
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sableflow.session import cut, saved
@@ -65,16 +67,28 @@ def number_of(word: str) -> str:
     return re.sub(r"[.,]", "", m[1]) if m else re.sub(r"\D", "", word)
 
 
-def compare(left: list[str], names: list[str], right: list[str], right_title: str) -> tuple[int, int]:
-    """Levels of names (0: none, 1: some, 2: all that can be there) and numbers (0: differ, 1: missing, 2: agree)."""
+def compare(left: list[str], names: list[str], right: list[str], right_title: str, hot: list[str] | tuple = (), own: list[str] | tuple = ()) -> tuple[int, int]:
+    """Levels of names (0: none, 1: some, 2: all that can be there) and numbers (0: differ, 1: missing, 2: agree).
+
+    hot: frequent names besides. Where no other name is found, they make level 1 if half of all names are found, or those that come first in a title cut off.
+    Not so if the right title has another rare name in the place of the lost ones (own: its rare words with a capital).
+    """
     truncated = bool(_CUT.search(right_title))
-    hits = sum(any(close(n, w) or truncated and len(w) > 3 and n.startswith(w) for w in right) for n in names)
+
+    def there(n: str) -> bool:
+        return any(close(n, w) or truncated and len(w) > 3 and n.startswith(w) for w in right)
+
+    hits = sum(there(n) for n in names)
     level = 2 if hits == len(names) else 1 if hits else 0
     if level == 1 and truncated:
         # the names that are left must be those that come first on the left
         first = names[:hits]
         if all(any(close(n, w) for w in right) for n in first):
             level = 2
+    if not level and hot and all(any(close(n, w) for w in left) for n in own):
+        found = [there(n) for n in dict.fromkeys(w for w in left if w in names or w in hot)]
+        if 2 * sum(found) >= len(found) or truncated and found[0] and all(found[: sum(found)]):
+            level = 1
     mine, theirs = {number_of(w) for w in left if _DIGITS.search(w)}, {number_of(w) for w in right if _DIGITS.search(w)}
     if not mine or not theirs:
         return level, 1
@@ -89,26 +103,52 @@ def prepare(rows: DataFrame) -> DataFrame:
 
 
 def rare_words(left: DataFrame, right: DataFrame, share: float = 0.002, slack: int = 3) -> DataFrame:
-    """(word, rare): over the distinct titles of both sides; digits are never rare words."""
+    """(word, rare, hot): over the distinct titles of both sides; digits are neither. hot: a frequent word that has a capital inside titles.
+
+    Titles of one case tell nothing about capitals. A word that is never inside a left title is judged by the right ones, and is hot if it isn't inside any.
+    """
     both = left.select("title", "words").unionByName(right.select("title", "words")).dropDuplicates(["title"])
     n = both.count()
     count = both.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    return count.select("word", ((F.col("df") <= share * n + slack) & (F.length("word") > 3) & ~F.col("word").rlike(r"\d")).alias("rare"))
+    usable = (F.length("word") > 3) & ~F.col("word").rlike(r"\d")
+    frequent = count.where(usable & (F.col("df") > share * n + slack)).select("word")
+    sides = left.select("title", "words", F.lit(True).alias("l")).unionByName(right.select("title", "words", F.lit(False).alias("l")))
+    inside = sides.where((F.col("title") != F.lower("title")) & (F.col("title") != F.upper("title"))).select("title", "l", F.posexplode("words").alias("pos", "word")).where("pos > 0")
+    large = _plain().contains(_large()).cast("int")
+    inside = inside.join(frequent, "word", "left_semi").groupBy("word").agg(F.avg(F.when(F.col("l"), large)).alias("of_left"), F.avg(large).alias("of_all"))
+    x = count.join(inside, "word", "left")
+    rare = usable & (F.col("df") <= share * n + slack)
+    return x.select("word", rare.alias("rare"), (usable & ~rare).alias("frequent"), (usable & ~rare & (F.coalesce("of_left", "of_all", F.lit(1.0)) >= 0.9)).alias("hot"))
+
+
+def _plain() -> Column:
+    return F.translate("title", MARKED + MARKED[:-2].upper(), PLAIN + PLAIN[:-2].upper())
+
+
+def _large() -> Column:
+    return F.concat(F.upper(F.left("word", F.lit(1))), F.expr("substr(word, 2)"))
 
 
 def with_names(side: DataFrame, rare: DataFrame, capitals: bool) -> DataFrame:
-    """Adds `names`: the rare words of each title, in order; with `capitals` only those with a capital, if there are any."""
-    each = side.select("key", "title", F.posexplode("words").alias("pos", "word")).join(rare.where("rare").select("word"), "word", "left_semi")
-    plain = F.translate("title", MARKED + MARKED[:-2].upper(), PLAIN + PLAIN[:-2].upper())
-    capital = plain.contains(F.concat(F.upper(F.left("word", F.lit(1))), F.expr("substr(word, 2)"))) | plain.contains(F.upper("word"))
-    each = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "word", capital.alias("capital")))).alias("x"))
-    chosen = F.when(F.lit(capitals) & F.exists("x", lambda w: w["capital"]), F.filter("x", lambda w: w["capital"])).otherwise(F.col("x"))
-    return side.join(each.select("key", F.transform(chosen, lambda w: w["word"]).alias("names")), "key")
+    """Adds `names`: the rare words of each title, in order; with `capitals` only those with a capital, if there are any. And `hot`: its hot words, `own`: its rare words with a capital.
+
+    A title without rare words has its hot words as names, or else all its frequent words.
+    """
+    each = side.select("key", "title", F.posexplode("words").alias("pos", "word")).join(rare.where("rare or frequent"), "word")
+    capital = _plain().contains(_large()) | _plain().contains(F.upper("word"))
+    each = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "word", capital.alias("capital"), "rare", "hot"))).alias("x"))
+    each = each.withColumns({"r": F.filter("x", lambda w: w["rare"]), "h": F.array_distinct(F.transform(F.filter("x", lambda w: w["hot"]), lambda w: w["word"]))})
+    chosen = F.when(F.lit(capitals) & F.exists("r", lambda w: w["capital"]), F.filter("r", lambda w: w["capital"])).otherwise(F.col("r"))
+    frequent = F.array_distinct(F.transform("x", lambda w: w["word"]))
+    names = F.when(F.size("r") > 0, F.transform(chosen, lambda w: w["word"])).when(F.size("h") > 0, F.col("h")).otherwise(frequent)
+    hot = F.when(F.size("r") > 0, F.col("h")).otherwise(F.array().cast("array<string>"))
+    own = F.transform(F.filter("r", lambda w: w["capital"]), lambda w: w["word"])
+    return side.join(each.select("key", names.alias("names"), hot.alias("hot"), own.alias("own")), "key")
 
 
 def _blocks(side: DataFrame, bins: list[int], width: int) -> DataFrame:
     """(key, us, bin, block): the names of a title, whole and by both ends, in the time bins given relative to its own."""
-    x = side.select("key", "us", F.floor(F.col("us") / width).alias("bin"), F.explode(F.array_distinct("names")).alias("w"))
+    x = side.select("key", "us", F.floor(F.col("us") / width).alias("bin"), F.explode(F.array_union("names", "hot")).alias("w"))
     kinds = F.array(F.concat(F.lit("w"), "w"), F.concat(F.lit("a"), F.left("w", F.lit(5))), F.concat(F.lit("z"), F.right("w", F.lit(5))))
     x = x.select("key", "us", "bin", F.explode(kinds).alias("block"))
     return x.select("key", "us", F.explode(F.array(*(F.col("bin") + k for k in bins))).alias("bin"), "block").distinct()
@@ -213,8 +253,8 @@ def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int) -
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for a, b, ua, ub, wa, na, ca, wb, cb, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, numbers = compare(wa, na, wb, tb)
+            for a, b, ua, ub, wa, na, ha, ca, wb, ob, cb, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, numbers = compare(wa, na, wb, tb, ha, ob)
                 if names:
                     out.append((a, b, names, numbers, 2 if abs(ua - ub) * 8 <= width else 1 if abs(ua - ub) * 2 <= width else 0, ca, cb, bool(_CUT.search(tb))))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
@@ -222,9 +262,9 @@ def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame, width: int) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "names", "numbers", "gap", "a_common", "b_common", "truncated"])
 
     common = F.filter(F.array_except("words", "names"), lambda w: ~w.rlike(r"\d"))
-    a = left.select(F.col("key").alias("a"), F.col("us").alias("us_a"), F.col("words").alias("words_a"), "names", common.alias("a_common"))
-    b = right.select(F.col("key").alias("b"), F.col("us").alias("us_b"), F.col("words").alias("words_b"), common.alias("b_common"), F.col("title").alias("title_b"))
-    x = pairs.join(a, "a").join(b, "b").select("a", "b", "us_a", "us_b", "words_a", "names", "a_common", "words_b", "b_common", "title_b")
+    a = left.select(F.col("key").alias("a"), F.col("us").alias("us_a"), F.col("words").alias("words_a"), "names", "hot", common.alias("a_common"))
+    b = right.select(F.col("key").alias("b"), F.col("us").alias("us_b"), F.col("words").alias("words_b"), "own", common.alias("b_common"), F.col("title").alias("title_b"))
+    x = pairs.join(a, "a").join(b, "b").select("a", "b", "us_a", "us_b", "words_a", "names", "hot", "a_common", "words_b", "own", "b_common", "title_b")
     return x.mapInArrow(of, COMPARED)
 
 

@@ -63,3 +63,28 @@ def test_patterns_separate_agreement_from_chance():
     p = Patterns(counts).posterior
     assert p[2, 2, 2, 2] > 0.95 and p[1, 0, 0, 0] < 0.05
     assert Patterns({}).posterior
+
+
+def test_frequent_names_link(spark):
+    """A company and a port in every title: both are above the share of rare words."""
+    verbs = [("halts", "stops"), ("buys", "acquires"), ("delays", "postpones")]
+    left, right, truth, t = [], [], set(), 0
+    for i in range(60):
+        t += 30 * HOUR
+        a, b = verbs[i % 3]
+        left.append((i, f"Xarul Norbek {a} {100 + 7 * i} cargoes at Molvent", t, "k"))
+        if i % 2 == 0:
+            right.append((1000 + i, f"Xarul Norbek {b} {100 + 7 * i} cargoes at Molvent", t + HOUR, "k"))
+            truth.add((i, 1000 + i))
+        else:
+            right.append((1000 + i, f"Tarsid Pelquor {b} {900 + 7 * i} barrels near Dovrin", t + HOUR, "k"))
+    got = {(r.left_id, r.right_id) for r in link(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, LEFT)).collect()}
+    assert got == truth
+
+
+def test_frequent_names_count():
+    a = "Narbo mill halts crushing, Xarul Metals seeks 1,088 tonnes"
+    other = "Xarul Metals seeks tonnes"
+    assert compare(words_of(a), ["narbo"], words_of(other), other)[0] == 0
+    assert compare(words_of(a), ["narbo"], words_of(other), other, ["xarul", "metals"])[0] == 1
+    assert compare(words_of(a), ["narbo", "seeks"], words_of("Brex Metals"), "Brex Metals", ["xarul", "metals"])[0] == 0
