@@ -118,10 +118,7 @@ class ItemIndex:
         for kind, (q, keys, firsts, counts, place, owner, table) in self.sides.items():
             if not len(keys):
                 continue
-            h, at = docs.grams(q)
-            if kind and len(at):
-                ok = docs.single[at]
-                h, at = h[ok], at[ok]
+            h, at = docs.grams(q)  # from any character on, as the bound counts those in numbers and Latin words too
             hit = table[(h >> np.uint64(42)).astype(np.int64)]
             h, at = h[hit], at[hit]
             slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)

@@ -88,3 +88,14 @@ def test_table(spark):
 
 def test_stream_has_no_words():
     assert len(Stream(["...", ""]).words) == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chinese_with_numbers_at_full_edit_budget(seed):
+    rng = random.Random(seed)
+    part = [w for i in range(10) for w in (*HAN[3 * i : 3 * i + 2], [str(1000 + 37 * i), HAN[3 * i + 2]][i % 2])]
+    edited = list(part)
+    for at in rng.sample(range(1, 29), 3):
+        edited[at] = "丂"
+    doc = "".join(chr(0x4E00 + rng.randrange(6000, 9000)) for _ in range(60))
+    assert check(doc + "".join(edited) + doc, "".join(part))
