@@ -57,30 +57,59 @@ def pruned(importance: DataFrame, share: float = 0.01) -> DataFrame:
 RESULT = "config bigint, penalty double, degree int, rmse double, mae double, r2 double, n bigint"
 
 
-def grid_search(df: DataFrame, target: str, features: list[str], configs: DataFrame, key: str, test_share: int = 20, sample_rows: int = 200_000) -> DataFrame:
-    """Ridge regression for every configuration (config, penalty, degree), one task each, scored on a hash-held-out share.
+def grid_search(df: DataFrame, target: str, features: list[str], configs: DataFrame, key: str, test_share: int = 20) -> DataFrame:
+    """Ridge regression for every configuration (config, penalty, degree), scored on a hash-held-out share.
 
-    Models are fitted on a bounded sample: rows are taken by hash until about sample_rows.
+    Fitted and scored over all rows without nulls, in three aggregations: means, the normal equations of the highest
+    degree (lower ones are their leading part), and sums of errors. The driver gets these sums and the configurations.
+    Without training or held-out rows the scores are NaN.
     """
-    n = df.count()
-    keep = min(1.0, sample_rows / max(n, 1))
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("_h"), target, *features).where(F.col("_h") < int(keep * 1_000_000)).na.drop()
-    shared = df.sparkSession.sparkContext.broadcast(rows.toPandas())
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = shared.value
-        test = (data["_h"] % 100 < test_share).to_numpy()
-        x, y = data[features].to_numpy(float), data[target].to_numpy(float)
-        mean, std = x[~test].mean(axis=0), x[~test].std(axis=0) + 1e-12
-        z = (x - mean) / std
+    numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate([target, *features])]
+    rows = df.select((F.pmod(F.pmod(F.xxhash64(key), F.lit(1_000_000)), F.lit(100)) < test_share).alias("test"), *numbers).na.drop()
+    grid = configs.select("config", "penalty", "degree").collect()
+    xs = [f"x{i + 1}" for i in range(len(features))]
+    stats = {r["test"]: r for r in rows.groupBy("test").agg(F.count("*").alias("n"), F.avg("x0").alias("y"), *(f(c).alias(f"{k}_{c}") for k, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in xs)).collect()}
+    train, held = stats.get(False), stats.get(True)
+    if not grid or not train or not held:
+        nan = float("nan")
+        return df.sparkSession.createDataFrame([(int(c.config), float(c.penalty), int(c.degree), nan, nan, nan, held["n"] if held else 0) for c in grid], RESULT)
+    mean, std = np.array([train[f"mean_{c}"] for c in xs]), np.array([train[f"std_{c}"] for c in xs]) + 1e-12
+    highest, y_mean = max(int(c.degree) for c in grid), held["y"]
+
+    def design(data: pd.DataFrame) -> np.ndarray:
+        z = (data[xs].to_numpy(float) - mean) / std
+        return np.hstack([np.ones((len(z), 1)), *(z**k for k in range(1, highest + 1))])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
         for batch in batches:
-            out = []
-            for c in batch.itertuples(index=False):
-                design = np.hstack([np.ones((len(z), 1)), *(z**k for k in range(1, int(c.degree) + 1))])
-                a = design[~test]
-                w = np.linalg.solve(a.T @ a + float(c.penalty) * np.eye(a.shape[1]), a.T @ y[~test])
-                e = y[test] - design[test] @ w
-                out.append((c.config, c.penalty, c.degree, float(np.sqrt((e**2).mean())), float(np.abs(e).mean()), float(1 - (e**2).sum() / ((y[test] - y[test].mean()) ** 2).sum()), int(test.sum())))
-            yield pd.DataFrame(out, columns=["config", "penalty", "degree", "rmse", "mae", "r2", "n"])
-
-    return configs.select("config", "penalty", "degree").repartition("config").mapInPandas(of, RESULT)
+            a = np.column_stack([design(batch), batch["x0"].to_numpy(float)])
+            total = total + a.T @ a
+        if not np.isscalar(total):
+            yield pd.DataFrame({"place": np.arange(total.size), "v": total.ravel()})
+
+    width = 1 + len(features) * highest
+    gram = np.zeros((width + 1) ** 2)
+    for r in rows.where("not test").mapInPandas(products, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():
+        gram[r["place"]] = r["v"]
+    gram = gram.reshape(width + 1, width + 1)
+    weights = np.zeros((width, len(grid)))
+    for i, c in enumerate(grid):
+        m = 1 + len(features) * int(c.degree)
+        weights[:m, i] = np.linalg.solve(gram[:m, :m] + float(c.penalty) * np.eye(m), gram[:m, -1])
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square, size, spread = np.zeros(len(grid)), np.zeros(len(grid)), 0.0
+        for batch in batches:
+            y = batch["x0"].to_numpy(float)
+            e = y[:, None] - design(batch) @ weights
+            square, size, spread = square + (e**2).sum(axis=0), size + np.abs(e).sum(axis=0), spread + ((y - y_mean) ** 2).sum()
+        yield pd.DataFrame({"i": np.arange(len(grid)), "square": square, "size": size, "spread": spread})
+
+    sums = rows.where("test").mapInPandas(errors, "i int, square double, size double, spread double").groupBy("i").agg(*(F.sum(c).alias(c) for c in ("square", "size", "spread"))).collect()
+    n, out = held["n"], []
+    for r in sums:
+        c = grid[r["i"]]
+        r2 = 1 - r["square"] / r["spread"] if r["spread"] else float("nan")
+        out.append((int(c.config), float(c.penalty), int(c.degree), float(np.sqrt(r["square"] / n)), r["size"] / n, r2, n))
+    return df.sparkSession.createDataFrame(out, RESULT)
