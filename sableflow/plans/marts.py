@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sableflow.functions import text as t
 from sableflow.functions.joins import join_small
 from sableflow.operators import mart, relational as r
-from sableflow.session import table
+from sableflow.operators.similar import repeats, similar_pairs
+from sableflow.session import cut, table
 
 PRED = "sugar_complete_dataset_with_predictions"
 
@@ -85,6 +86,28 @@ f AS (SELECT *, min(news_no) OVER (PARTITION BY url) AS fu, min(news_no) OVER (P
 SELECT * FROM (SELECT news_no, CASE WHEN url IS NOT NULL AND fu < news_no THEN 'url' WHEN fk < news_no THEN 'content' WHEN id IS NOT NULL AND fi < news_no THEN 'id' END AS layer FROM f) WHERE layer IS NOT NULL"""
 
 
+def _similar(spark: SparkSession, d: str, layers: DataFrame) -> DataFrame:
+    return similar_pairs(table(spark, d, "news").select(F.col("news_no").alias("id"), "source", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("content")), skip=layers.select(F.col("news_no").alias("id")))
+
+
+def similar_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Of the rows that repeat none by address, content or id: all pairs of one source whose words have a Jaccard similarity of 0.85 or more."""
+    return _similar(spark, d, cut(layered_duplicates(spark, d))).select(F.col("id").alias("news_no"), "earlier")
+
+
+def four_layers(spark: SparkSession, d: str) -> DataFrame:
+    """wh_layered_duplicates and its fourth layer: rows similar to an earlier kept row of their source."""
+    layers = cut(layered_duplicates(spark, d))
+    similar = repeats(_similar(spark, d, layers)).select(F.col("id").alias("news_no"), F.lit("similar").alias("layer"))
+    return layers.unionByName(similar)
+
+
+_WORDS_SQL = r"list_distinct(list_filter(string_split_regex(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '\s+'), lambda w: w <> ''))"
+_SIMILAR_SQL = f"""WITH s AS (SELECT news_no, source, {_WORDS_SQL} AS w FROM news WHERE news_no NOT IN (SELECT news_no FROM ({_LAYERS_SQL})))
+SELECT b.news_no, a.news_no AS earlier FROM s a JOIN s b ON a.source IS NOT DISTINCT FROM b.source AND a.news_no < b.news_no AND least(len(a.w), len(b.w)) >= 0.84 * greatest(len(a.w), len(b.w))
+WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.85::DOUBLE"""
+
+
 def trusted(spark: SparkSession, d: str) -> DataFrame:
     """Rows of known feeds, by site first and by name else; rows without a source are not trusted."""
     feeds = table(spark, d, "feeds").where("home_lang in ('en', 'pt')")
@@ -122,7 +145,7 @@ def valid_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "mart_features": features, "mart_inner_days": inner_days, "mart_correlations": correlations, "mart_importance": importance, "mart_grid_search": grid_search,
-    "wh_layered_duplicates": layered_duplicates, "wh_trusted_sources": trusted, "wh_pick_site": pick_site, "tx_training_records": training_records, "wh_valid_metrics": valid_metrics,
+    "wh_layered_duplicates": layered_duplicates, "wh_similar_deliveries": similar_deliveries, "wh_four_layers": four_layers, "wh_trusted_sources": trusted, "wh_pick_site": pick_site, "tx_training_records": training_records, "wh_valid_metrics": valid_metrics,
 }
 ORACLE = {
     "mart_features": _FEATURES_SQL,
@@ -133,6 +156,7 @@ ORACLE = {
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, pow(corr({c}, mood_mean), 2) AS importance FROM j" for c in ("news_n", "news_size", "mood_confidence", "pred_score"))
     + ") SELECT feature, round(importance, 6) AS importance FROM i WHERE importance >= 0.01 * (SELECT max(importance) FROM i)",
     "wh_layered_duplicates": _LAYERS_SQL,
+    "wh_similar_deliveries": _SIMILAR_SQL,
     "wh_trusted_sources": """WITH f AS (SELECT * FROM feeds WHERE home_lang IN ('en', 'pt')), k AS (SELECT source, source IS NOT NULL AND (source IN (SELECT source FROM f) OR coalesce(json_extract_string(metadata, '$.site_id') IN (SELECT CAST(site_id AS VARCHAR) FROM f), false)) AS keep FROM news)
 SELECT source, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS left_out FROM k GROUP BY source""",
     "wh_pick_site": "SELECT name, source, site_id FROM (SELECT n.name, f.source, f.site_id, row_number() OVER (PARTITION BY n.name ORDER BY lower(f.source) = n.name DESC, f.site_id) AS rn FROM (SELECT DISTINCT lower(string_split(source, ' ')[1]) AS name FROM feeds) n JOIN feeds f ON list_contains(string_split(lower(f.source), ' '), n.name) OR lower(f.source) = n.name) WHERE rn = 1",
