@@ -1,15 +1,21 @@
 """Evaluation items leaking into documents, by the q-gram lemma on diagonal bands.
 
 Texts are read as streams of word characters (case, punctuation and spacing gone). An edit of a word of w characters
-destroys at most w + q - 1 of the q-grams of a part of an item, so a part of `part` words within its edit budget shares
-at least a known number of q-grams with its copy, all of them near one diagonal (place in the document minus place in
-the item). Shared q-grams are counted in diagonal bands of 2 * `slack` characters, each overlapping its neighbours by
-half; bands below the item's bound are dropped, and the rest are verified by a banded alignment of words, which finds
-out exactly whether some continuous part of at least `part` item words lies in the document with at most `edits` of
-its words changed, dropped or added. Words that spacing has glued or torn apart align without cost.
-
-The items are a stated query set: they are handed to all tasks in blocks of at most `block` characters, and documents
-are read once for each block. Nothing is shuffled.
+destroys at most w + q - 1 of the q-grams of a part of an item, so a part within its edit budget shares at least a
+known number of q-grams with its copy. A part of twice `part` words or more within the budget has a half within it, so
+only the parts where the budget allows one more edit, up to that length, set the bounds.
+
+Every edit moves the copy by no more than the longest pair of item words: longer document words equal none and no two
+glued ones, so they count as one place. Therefore all shared q-grams of a copy lie within (edits) * (that length) of
+one diagonal (place in the document minus place in the item). They are counted in diagonal bands twice as wide, each
+overlapping its neighbours by half; bands below the item's bound are dropped. The rest are verified by a banded
+alignment of words, which finds out exactly whether some continuous part of at least `part` item words lies in the
+document with at most `edits` of its words changed, dropped or added. Words that spacing has glued or torn apart in two
+align without cost. The alignment runs in a narrow band of word diagonals first and, where that finds nothing, in one
+as wide as all edits and all glued or torn words outside of shared q-grams can reach.
+
+The items are a stated query set: they are handed to all tasks in blocks of at most `block` characters (and 60,000
+items), and documents are read once for each block. Nothing is shuffled.
 
 Defined results: null, empty and too short texts on either side leak nothing, unless the whole item is shorter than
 `part` words, which then counts when all of it is there; repeated items are found each; an empty table gives no rows;
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +45,18 @@ class Settings:
     edits: float = 0.1
     q: int = 10
     q_single: int = 5
-    slack: int = 32
+
+    @property
+    def rate(self) -> Fraction:
+        return Fraction(self.edits).limit_denominator(1000)
+
+    def budget(self, n: int) -> int:
+        """Edits that a part of n words may have."""
+        return int(n * self.rate)
+
+    def lengths(self, part: int) -> list[int]:
+        """Of the parts of `part` words to twice as many, the shortest for each budget: any longer one holds one of them."""
+        return [n for n in range(part, 2 * part) if n == part or self.budget(n) > self.budget(n - 1)]
 
 
 class Stream:
@@ -87,8 +105,11 @@ class ItemIndex:
         single = np.array([bool(st.single[begin[i] : begin[i + 1]].mean() > 0.5) if n_words[i] else False for i in range(len(ids))])
         self.part = np.minimum(np.where(single, s.part_single, s.part), np.maximum(n_words, 1))
         self.single, self.sides = single, {}
-        self.bound, self.span = np.ones(len(ids), np.int64), np.ones(len(ids), np.int64)
+        size = np.diff(st.word_at)
+        pair = size + np.r_[np.where(st.word_owner[1:] == st.word_owner[:-1], size[1:], 0), 0][: len(size)]
+        longest = {}
         for kind, q in ((False, s.q), (True, s.q_single)):
+            longest[kind] = int(pair[single[st.word_owner] == kind].max(initial=1))
             h, at = st.grams(q)
             owner = st.word_owner[st.word_of[at]] if len(at) else at
             ok = single[owner] == kind if len(at) else np.zeros(0, bool)
@@ -98,14 +119,22 @@ class ItemIndex:
             table = np.zeros(1 << 22, bool)
             table[(h >> np.uint64(42)).astype(np.int64)] = True
             keys, firsts, counts = np.unique(h, return_index=True, return_counts=True)
-            self.sides[kind] = (q, keys, firsts, counts, at - begin[owner], owner, table)
+            self.sides[kind] = (q, keys, firsts, counts, at - begin[owner], owner, table, longest[kind])
+        # bound: q-grams that must be shared; slack: how far they are from one diagonal; span: how far apart in the document;
+        # rows, turns: item words and word diagonals that an alignment can go beyond shared q-grams
+        self.bound, self.slack, self.span, self.edits, self.rows, self.turns = (np.ones(len(ids), np.int64) for _ in range(6))
         for i in range(len(ids)):
-            length = np.diff(st.word_at[st.text_at[i] : st.text_at[i + 1] + 1])
-            part, q = int(self.part[i]), s.q_single if single[i] else s.q
-            if len(length):
-                long = part + part // 2  # wherever the edits lie, so many words hold enough untouched ones
-                self.span[i] = max(length[k : k + long].sum() for k in range(max(1, len(length) - long + 1))) + 20 * (1 + int(long * s.edits))
-                self.bound[i] = max(1, min(self._bound(length[k : k + part], q, int(part * s.edits)) for k in range(len(length) - part + 1)))
+            length, part, q = size[st.text_at[i] : st.text_at[i + 1]], int(self.part[i]), s.q_single if single[i] else s.q
+            if not len(length):
+                continue
+            parts = [n for n in s.lengths(part) if n <= len(length)]
+            total = np.r_[0, np.cumsum(length)]
+            k, most = s.budget(parts[-1]), min(parts[-1] + 2, len(length))
+            self.bound[i] = max(1, min(self._bound(length[j : j + n], q, s.budget(n)) for n in parts for j in range(len(length) - n + 1)))
+            self.slack[i] = max(1, k * longest[bool(single[i])])
+            self.span[i] = (total[most:] - total[:-most]).max() + self.slack[i]
+            silent = int((np.searchsorted(total, total[:-1] + q - 1, "right") - 1 - np.arange(len(length))).max())  # words in q - 1 characters
+            self.edits[i], self.rows[i], self.turns[i] = k, k + (k + 1) * (silent + 1), k + (k + 1) * max(silent // 2, (q - 1) // 2)
 
     @staticmethod
     def _bound(length: np.ndarray, q: int, k: int) -> int:
@@ -115,7 +144,7 @@ class ItemIndex:
     def regions(self, docs: Stream) -> tuple[np.ndarray, ...]:
         """(document, item, lowest and highest word diagonal, first and last item word) of the bands that reach the item's bound."""
         out = []
-        for kind, (q, keys, firsts, counts, place, owner, table) in self.sides.items():
+        for q, keys, firsts, counts, place, owner, table, longest in self.sides.values():
             if not len(keys):
                 continue
             h, at = docs.grams(q)  # from any character on, as the bound counts those in numbers and Latin words too
@@ -129,35 +158,38 @@ class ItemIndex:
             if not len(at):
                 continue
             which = np.repeat(firsts[slot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(at))
-            item = owner[which]
-            doc = docs.word_owner[docs.word_of[at]]
-            diagonal = at - docs.word_at[docs.text_at[doc]] - place[which] + (1 << 30)
-            pair = (doc.astype(np.uint64) << np.uint64(44)) | (item.astype(np.uint64) << np.uint64(28))
-            for shift in (0, self.s.slack):
-                band = (diagonal + shift) // (2 * self.s.slack) - (1 << 30) // (2 * self.s.slack) + (1 << 27)
-                key = pair | band.astype(np.uint64)
-                ordered = np.sort(key)  # counting needs no places, and few bands reach their bound
-                start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                count = np.diff(np.r_[start, len(key)])
-                good = ordered[start]
-                good = good[count >= self.bound[(good >> np.uint64(28) & np.uint64(0xFFFF)).astype(np.int64)]]
-                if not len(good):
-                    continue
-                some = np.flatnonzero(good[np.minimum(np.searchsorted(good, key), len(good) - 1)] == key)
-                out.append(self._narrowed(docs, key[some], at[some], which[some], doc[some], item[some], place, owner))
+            item, word = owner[which], docs.word_of[at]
+            doc = docs.word_owner[word]
+            size = np.diff(docs.word_at)
+            short = np.r_[0, np.cumsum(np.where(size > longest, 1, size))]
+            place_d = short[word] + np.where(size[word] > longest, 0, at - docs.word_at[word]) - short[docs.text_at[doc]]
+            band = (place_d - place[which] + (1 << 30)) // self.slack[item] - (1 << 30) // self.slack[item] + (1 << 27)
+            key = (doc.astype(np.uint64) << np.uint64(44)) | (item.astype(np.uint64) << np.uint64(28)) | band.astype(np.uint64)
+            ordered = np.sort(key)  # counting needs no places, and few bands reach their bound
+            start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            good, count = ordered[start], np.diff(np.r_[start, len(key)])
+            count[:-1] += np.where(good[1:] == good[:-1] + np.uint64(1), count[1:], 0)  # a band is two neighbouring halves
+            good = good[count >= self.bound[(good >> np.uint64(28) & np.uint64(0xFFFF)).astype(np.int64)]]
+            for half in (0, 1) if len(good) else ():
+                of = key - np.uint64(half)
+                some = np.flatnonzero(good[np.minimum(np.searchsorted(good, of), len(good) - 1)] == of)
+                members = (of[some], *(x[some] for x in (at, place_d, which, doc, item)))
+                both = members if not half else tuple(np.concatenate(x) for x in zip(both, members, strict=True))
+            if len(good):
+                out.append(self._narrowed(docs, *both, place))
         if not out:
             return tuple(np.empty(0, np.int64) for _ in range(6))
         return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
 
-    def _narrowed(self, docs: Stream, key: np.ndarray, at: np.ndarray, which: np.ndarray, doc: np.ndarray, item: np.ndarray, place: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def _narrowed(self, docs: Stream, key: np.ndarray, at: np.ndarray, place_d: np.ndarray, which: np.ndarray, doc: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of the bands, those where the bound is reached within the longest place a part can take."""
-        order = np.lexsort((at, key))
-        key, at, which, doc, item = key[order], at[order], which[order], doc[order], item[order]
+        order = np.lexsort((place_d, key))
+        key, at, place_d, which, doc, item = key[order], at[order], place_d[order], which[order], doc[order], item[order]
         need = self.bound[item]
         until = np.arange(len(key)) + need - 1
         inside = until < len(key)
         until = np.minimum(until, len(key) - 1)
-        dense = inside & (key[until] == key) & (at[until] - at <= self.span[item])
+        dense = inside & (key[until] == key) & (place_d[until] - place_d <= self.span[item])
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         good = np.logical_or.reduceat(dense, start)
         st = self.stream
@@ -168,57 +200,67 @@ class ItemIndex:
         return np.stack([doc[first], item[first], low, high, top, bottom])
 
     def verify(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
-        """Which regions hold a part of the item within the edit budget.
-
-        Item words further off than a part from all shared q-grams can't matter.
-        """
-        ok = np.zeros(len(doc), bool)
-        low, width = low - 3, high - low + 7
-        top, bottom = np.maximum(top - self.part[item], 0), bottom + self.part[item] + 1
-        for test, size in ((self._plausible, 256), (self._align, 64)):
-            passed = np.zeros(len(doc), bool)
-            for part in np.unique(self.part[item]):
-                for wide in (16, 32, 64, 1 << 30):
-                    some = np.flatnonzero((self.part[item] == part) & (width <= wide) & (width > {16: 0, 32: 16, 64: 32}.get(wide, 64)))
-                    some = some[np.argsort((bottom - top)[some], kind="stable")]
-                    for i in range(0, len(some), size):
-                        x = some[i : i + size]
-                        passed[x] = test(docs, doc[x], item[x], low[x], int(width[x].max()), int(part), top[x], bottom[x])
-            if test == self._align:
-                ok[left] = passed
-            else:
-                left = np.flatnonzero(passed)
-                doc, item, low, width, top, bottom = (x[passed] for x in (doc, item, low, width, top, bottom))
+        """Which regions hold a part of the item within the edit budget, but for those of a document and item found already."""
+        ok, pair = np.zeros(len(doc), bool), doc * len(self.ids) + item
+        top, bottom = np.maximum(top - self.rows[item], 0), np.minimum(bottom + self.rows[item] + 1, np.diff(self.stream.text_at)[item])
+        turns = self.turns[item]
+        left = self._each(self._plausible, 1 << 20, docs, np.arange(len(doc)), doc, item, low - turns, high - low + 2 * turns + 1, top, bottom)
+        near = np.minimum(turns, 3)
+        ok[self._each(self._align, 1 << 16, docs, left, doc, item, low - near, high - low + 2 * near + 1, top, bottom)] = True
+        left = left[~np.isin(pair[left], pair[ok]) & (turns[left] > near[left])]
+        ok[self._each(self._align, 1 << 16, docs, left, doc, item, low - turns, high - low + 2 * turns + 1, top, bottom)] = True
         return ok
 
-    def _plausible(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, part: int, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
-        """Whether in some part all but the edited words (and one more) stand somewhere in the band, in whatever order."""
+    def _each(self, test, most: int, docs: Stream, left: np.ndarray, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:  # noqa: ANN001
+        """Which of the regions `left` pass the test, which looks at many regions of like length at once, about `most` cells."""
+        passed = [left[:0]]
+        for part in np.unique(self.part[item[left]]):
+            some = left[self.part[item[left]] == part]
+            some = some[np.lexsort((width[some], np.ceil(np.log2(np.maximum((bottom - top)[some], 32)) * 2)))]
+            cells, at = np.cumsum(width[some] * np.maximum(bottom - top, 32)[some]), 0
+            while at < len(some):
+                end = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + most)))
+                x = some[at:end]
+                passed.append(x[test(docs, doc[x], item[x], low[x], int(width[x].max()), int(part), top[x], bottom[x])])
+                at = end
+        return np.concatenate(passed)
+
+    def _met(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, top: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
+        """For [region, item word from top, diagonal from low]: whether the words are equal, whether the item's word and the one before glued
+        are the document's, and the other way round; and which [region, item word] there are."""
         st, n_items, n_docs = self.stream, np.diff(self.stream.text_at)[item], np.diff(docs.text_at)[doc]
-        rows = int((np.minimum(bottom, n_items) - top).max())
         at_i = top[:, None] + np.arange(rows)
         at_d = at_i[:, :, None] + low[:, None, None] + np.arange(width)
         here, there = at_i < n_items[:, None], (at_d >= 0) & (at_d < n_docs[:, None, None])
+        there &= here[:, :, None]
         at_i, at_d = np.where(here, st.text_at[item][:, None] + at_i, 0), np.where(there, docs.text_at[doc][:, None, None] + at_d, 0)
-        word, glued, d = st.words[at_i][:, :, None], st.pairs[at_i][:, :, None], docs.words[at_d]
-        same = (d == word) | (d == glued) | (docs.pairs[at_d] == word)
-        same[:, 1:] |= d[:, 1:] == glued[:, :-1]
-        total = np.cumsum(np.pad((same & there).any(axis=2) & here, ((0, 0), (1, 0))), axis=1)
+        word, d = st.words[at_i][:, :, None], docs.words[at_d]
+        glued = there & (d == st.pairs[at_i - 1][:, :, None]) & (at_i > st.text_at[item][:, None])[:, :, None]
+        torn = there & (word == docs.pairs[at_d - 1]) & (at_d > docs.text_at[doc][:, None, None])
+        return there & (word == d), glued, torn, here
+
+    def _plausible(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, part: int, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        """Whether in some part all but the edited words stand somewhere in the band, in whatever order."""
+        rows = int((bottom - top).max())
+        same, glued, torn, here = self._met(docs, doc, item, low, width, top, rows)
+        known, before = (same | torn).any(axis=2), glued.any(axis=2)
+        known |= before
+        known[:, :-1] |= before[:, 1:]
+        total = np.cumsum(np.pad(known & here, ((0, 0), (1, 0))), axis=1)
         most = (total[:, part:] - total[:, :-part]).max(axis=1) if rows >= part else total[:, -1]
-        return most >= part - int(part * self.s.edits) - 1
+        return most >= part - self.edits[item]
 
     def _align(self, docs: Stream, doc: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, part: int, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
         """Banded alignment of many regions at once.
 
         best[c, b, n] is the best score of a path that ends in row i on diagonal low + b and has consumed n item words
-        (n stops at part): +1 for each item word, -cost for each edit. A score of 0 or more at n = part is a find.
+        (n stops at part): +gain for each item word, -cost for each edit. A score of 0 or more at n = part is a find.
         """
-        st, cost, never = self.stream, round(1 / self.s.edits) if self.s.edits else 10_000, -30_000
-        n_items, n_docs = np.diff(st.text_at)[item], np.diff(docs.text_at)[doc]
-        rows, c = int((np.minimum(bottom, n_items) - top).max()), len(doc)
-
-        def fetch(values: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, fill: int) -> np.ndarray:
-            inside = (at >= 0) & (at < size)
-            return np.where(inside, values[np.where(inside, start + at, 0)], np.uint64(fill))
+        gain, cost = (self.s.rate.numerator, self.s.rate.denominator) if self.s.rate else (1, 1_000_000)
+        never, adds = -100_000_000, int(self.edits[item].max(initial=0))
+        rows, c = int((bottom - top).max()), len(doc)
+        same, glued, torn, here = self._met(docs, doc, item, low, width, top, rows)
+        any_glued, any_torn = glued.any(axis=(0, 2)), torn.any(axis=(0, 2))
 
         def shifted(x: np.ndarray, by: int) -> np.ndarray:
             """The same doc word or so, seen from the next row: diagonal b takes from b + by."""
@@ -238,28 +280,18 @@ class ItemIndex:
         fresh = np.full((c, width, part + 1), never, np.int32)
         fresh[:, :, 0] = 0
         before, last, found = fresh.copy(), fresh.copy(), np.zeros(c, bool)
-        s_i, s_d = st.text_at[item][:, None], docs.text_at[doc][:, None]
         for i in range(rows):
-            at_i = top[:, None] + i
-            at_d = at_i + low[:, None] + np.arange(width)
-            word = fetch(st.words, s_i, n_items[:, None], at_i, 1)
-            d_word = fetch(docs.words, s_d, n_docs[:, None], at_d, 2)
-            now = fresh.copy()
-            same = (word == d_word)[:, :, None]
-            step = consumed(last, 1, 1)
-            now = np.maximum(now, np.where(same, step, step - cost))
-            now = np.maximum(now, shifted(consumed(last, 1, 1 - cost), 1))  # the item's word is dropped
-            if i:
-                glued = (fetch(st.pairs, s_i, n_items[:, None] - 1, at_i - 1, 1) == d_word)[:, :, None]
-                if glued.any():
-                    now = np.maximum(now, np.where(glued, shifted(consumed(before, 2, 2), 1), never))
-            torn = (word == fetch(docs.pairs, s_d, n_docs[:, None] - 1, at_d - 1, 2))[:, :, None]
-            if torn.any():
-                now = np.maximum(now, np.where(torn, shifted(consumed(last, 1, 1), -1), never))
-            for _ in range(3):  # words added in the document
-                now = np.maximum(now, shifted(now, -1) - cost)
+            step = consumed(last, 1, gain)
+            now = np.maximum(fresh, np.where(same[:, i, :, None], step, step - cost))
+            np.maximum(now[:, :-1], step[:, 1:] - cost, out=now[:, :-1])  # the item's word is dropped
+            if i and any_glued[i]:
+                now = np.maximum(now, np.where(glued[:, i, :, None], shifted(consumed(before, 2, 2 * gain), 1), never))
+            if any_torn[i]:
+                now = np.maximum(now, np.where(torn[:, i, :, None], shifted(step, -1), never))
+            for _ in range(adds):  # words added in the document
+                np.maximum(now[:, 1:], now[:, :-1] - cost, out=now[:, 1:])
             now = np.maximum(now, never)
-            now[at_i[:, 0] >= n_items] = never
+            now[~here[:, i]] = never
             found |= (now[:, :, part] >= 0).any(axis=1)
             before, last = last, now
         return found
@@ -269,18 +301,7 @@ class ItemIndex:
         if not len(docs.codes) or not len(self.stream.codes):
             return ids[:0], ids[:0]
         regions = np.stack(self.regions(docs))
-        found: list[np.ndarray] = []
-        while regions.shape[1]:  # one region of each document and item at a time: bands overlap, and one find is enough
-            pair = regions[0] * len(self.ids) + regions[1]
-            _, first = np.unique(pair, return_index=True)
-            now = regions[:, first]
-            hits = now[:, self.verify(docs, *now)]
-            found.append(hits[:2])
-            left = np.ones(len(pair), bool)
-            left[first] = False
-            left &= ~np.isin(pair, hits[0] * len(self.ids) + hits[1])
-            regions = regions[:, left]
-        doc, item = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        doc, item = np.unique(regions[:2, self.verify(docs, *regions)], axis=1)  # bands overlap
         return ids[doc], self.ids[item]
 
 
@@ -290,7 +311,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings = Se
     held: list[list] = [[]]
     size = 0
     for row in items.select("item_id", "text").where("text is not null and text != ''").orderBy("item_id").toLocalIterator():
-        if size + len(row.text) > block and held[-1]:
+        if held[-1] and (size + len(row.text) > block or len(held[-1]) >= 60_000):
             held.append([])
             size = 0
         held[-1].append((row.item_id, row.text))

@@ -99,3 +99,75 @@ def test_chinese_with_numbers_at_full_edit_budget(seed):
         edited[at] = "丂"
     doc = "".join(chr(0x4E00 + rng.randrange(6000, 9000)) for _ in range(60))
     assert check(doc + "".join(edited) + doc, "".join(part))
+
+
+def aligned(item, doc, part, rate=0.1):
+    """Brute force: whether some part of at least `part` item words lies in doc within the budget; two words glued to one, or one torn in two, are free."""
+    gain, cost, never = 1, round(1 / rate), -(10**9)
+    rows = [[[0] + [never] * part for _ in range(len(doc) + 1)]]
+    for i in range(1, len(item) + 1):
+        row = []
+        for j in range(len(doc) + 1):
+            best = [0] + [never] * part
+
+            def take(cell, n, score, best=best):
+                for k, v in enumerate(cell):
+                    to = min(k + n, part)
+                    best[to] = max(best[to], v + score)
+
+            take(rows[i - 1][j], 1, gain - cost)
+            if j:
+                take(rows[i - 1][j - 1], 1, gain if item[i - 1] == doc[j - 1] else gain - cost)
+                take(row[j - 1], 0, -cost)
+                if i > 1 and item[i - 2] + item[i - 1] == doc[j - 1]:
+                    take(rows[i - 2][j - 1], 2, 2 * gain)
+            if j > 1 and item[i - 1] == doc[j - 2] + doc[j - 1]:
+                take(rows[i - 1][j - 2], 1, gain)
+            if best[part] >= 0:
+                return True
+            row.append(best)
+        rows.append(row)
+    return False
+
+
+SCRIPTS = {
+    "latin": lambda r: "".join(r.choices("abcdefghilmnoprstu", k=r.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, 9, 14]))),
+    "cyrillic": lambda r: "".join(r.choices("абвгдежзиклмнопрст", k=r.randint(1, 12))),
+    "numbers": lambda r: str(r.randrange(10 ** r.randint(1, 7))) if r.random() < 0.3 else "".join(r.choices("aeiourstln", k=r.randint(1, 8))),
+    "chinese": lambda r: chr(0x4E00 + r.randrange(3000)),
+    "chinese numbers": lambda r: str(r.randrange(10 ** r.randint(1, 4))) + "." if r.random() < 0.15 else chr(0x4E00 + r.randrange(3000)),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+@pytest.mark.parametrize("seed", range(12))
+def test_recall_is_whole_against_full_alignment(script, seed):
+    """Parts of minimum length and more, with all the edits the budget allows, long added words and spacing errors among them."""
+    rng = random.Random(f"{script} {seed}")
+    word, han = SCRIPTS[script], script.startswith("chinese")
+    item = [word(rng).rstrip(".") for _ in range(rng.randint(60, 90))]
+    n = rng.choice([30, 35, 40, 50, 59] if han else [20, 21, 25, 30, 33, 39])
+    start = rng.randrange(len(item) - n + 1)
+    part = [[w] for w in item[start : start + n]]
+    spots = rng.sample(range(n), n // 10) if seed % 3 else [n // 2 - n // 20 + k for k in range(n // 10)]  # in a row, too
+    for at in spots:
+        kind = rng.choice(["change", "drop", "add", "add"])
+        new = "".join(rng.choices("qwxyz", k=rng.choice([1, 4, 12, 28, 39])))
+        part[at] = {"change": [new], "drop": [], "add": [part[at][0], new]}[kind]
+    words = [w for p in part for w in p]
+    if not han:
+        for _ in range(3):
+            at = rng.randrange(len(words) - 1)
+            if rng.random() < 0.5:
+                words[at : at + 2] = [words[at] + words[at + 1]]
+            elif len(words[at]) > 1:
+                words[at : at + 1] = [words[at][:1], words[at][1:]]
+    around = [[word(rng).rstrip(".") for _ in range(40)] for _ in range(2)]
+    doc = around[0] + words + around[1]
+    if aligned(item, doc, 30 if han else 20):
+        assert check(" ".join(doc), " ".join(item))
+    scattered = list(item[start : start + n])
+    for at in range(1, n, 5):  # twice the budget
+        scattered[at] = "qq"
+    doc = around[0] + scattered + around[1]
+    assert check(" ".join(doc), " ".join(item)) == aligned(item, doc, 30 if han else 20)
