@@ -1,6 +1,6 @@
 import pytest
 
-from sableflow.llm.sentences import sentence_spans, split_sentences
+from sableflow.llm.sentences import GENERAL, Marks, fit_marks, sentence_spans, split_sentences
 
 
 def cut(text):
@@ -75,3 +75,50 @@ def test_table(spark):
     assert all(texts[r.doc_id][r.start_pos : r.end_pos] == r.sentence for r in out)
     assert [r.end_pos for r in out if r.doc_id == 5] == [7, 12]
     assert split_sentences(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("size", [100, 500, 700, 5000, 50_000])
+@pytest.mark.parametrize("marks", ["“”", '""', "()", "«»", "「」", "[]", "„“"])
+def test_quotations_and_brackets_of_any_length(size, marks):
+    inside = ("We load. " * (size // 9 + 1))[:size].strip(" .")
+    assert cut(f"Doe said {marks[0]}{inside}.{marks[1]} and left. Nobody did.") == [f"Doe said {marks[0]}{inside}.{marks[1]} and left.", "Nobody did."]
+
+
+def test_nested_and_unpaired_marks():
+    assert cut("He said “it (the mill. Not the port.) closed. «No.» it is” and left. Bye.") == ["He said “it (the mill. Not the port.) closed. «No.» it is” and left.", "Bye."]
+    assert cut("An open “quotation. Never closed. Bye.") == ["An open “quotation.", "Never closed.", "Bye."]
+    assert cut("A stray ) here. Bye.") == ["A stray ) here.", "Bye."]
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["It was sold in the U.S.", "Prices rose later."],
+        ["Он живёт в 2010 г.", "Мы знаем это."],
+        ["La Av. Corrientes es larga.", "Fin."],
+        ["他说：“你好！”然后走了。", "天黑了。"],
+    ],
+)
+def test_plain_texts_without_learned_words(parts):
+    assert cut("".join(parts) if "。" in parts[0] else " ".join(parts)) == parts
+
+
+def test_openings_are_learned(spark):
+    """Steel is a name here and prices a common word, which decides after U.S.; kp. is an abbreviation nobody listed."""
+    texts = ["We met Steel today. Then prices fell. Now we like Steel and the prices. About kp. eleven loads of kp. twelve came."] * 3 + ["Prices fell."] * 3
+    model = fit_marks(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert isinstance(model, Marks) and model.opening("Prices") > 0 > model.opening("Steel")
+    text = "The U.S. Steel works closed. It was sold in the U.S. Prices rose. They paid kp. Maier."
+    assert [text[a:b] for a, b in sentence_spans(text, model)] == ["The U.S. Steel works closed.", "It was sold in the U.S.", "Prices rose.", "They paid kp. Maier."]
+    assert fit_marks(spark.createDataFrame([], "text string")).words == GENERAL.words
+
+
+def test_words_of_spaceless_scripts_by_the_cheapest_path():
+    model = Marks(words={"货轮": 4.0, "分析师": 4.0, "分析": 5.0})
+    assert model.segmented("货轮分析师说了") == ["货轮", "分析师", "说", "了"]
+    assert model.segmented("") == []
+
+
+def test_time_grows_with_length_only():
+    for text in ("a." * 100_000, "“" * 100_000 + "x. Y", '("[« x. ' * 20_000, "字" * 100_000 + "。字" * 20_000, "A.B. " * 40_000):
+        assert sentence_spans(text)[-1][1] == len(text.rstrip())
