@@ -189,7 +189,7 @@ def _marks(rows: list) -> Marks:
     total_open, total_inner = max(sum(big.values()), 1), max(sum(small.values()), 1)
     for w in big.keys() | small.keys():
         opens[w] = math.log((big[w] + 0.5) / (total_open + 0.5) * (total_inner + 0.5) / (small[w] + 0.5))
-    dotted = {w: math.log((c + 0.5) / (i[w] + i[w.capitalize()] + 0.5)) for w, c in n["d"].items()}
+    dotted = {w: math.log((c + 0.5) / (max(0, i[w] + i[w.capitalize()] - c) + 0.5)) for w, c in n["d"].items()}  # the inner ones hold those with a point
     total = total_open + total_inner
     return Marks(opens, dotted, {w: -math.log((big[w] + small[w]) / total) for w in big.keys() | small.keys() if big[w] + small[w] > 1 and len(w) > 1})
 
