@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 
 # Words for the commodity in the languages of the feeds.
 COMMODITY_WORDS = ("sugar", "sugarcane", "molasses", "sucrose", "raw sugar", "white sugar", "azúcar", "açúcar", "sucre", "zucker", "сахар", "चीनी", "سكر", "السكر", "糖", "砂糖", "白糖", "粗糖")
-# The first word that occurs names what a text says about each zone.
-ZONES = {
-    "market": ("futures", "contract", "price", "market", "exports", "shipment", "port", "tariff"),
-    "supply_chain": ("harvest", "crushing", "output", "mill", "storage", "transport"),
-    "event": ("ethanol", "weather", "drought", "frost", "rain", "flood", "strike"),
-    "region": ("brazil", "india", "thailand", "china", "europe", "mexico"),
-}
+# Words of mood in free replies and their scores, in the order they are looked for. "negative" and "positive"
+# stand before their mild forms, which therefore never decide.
+MOODS = (
+    (-0.9, ("very negative", "extremely negative")),
+    (-0.6, ("negative", "bearish")),
+    (-0.3, ("slightly negative", "mildly negative")),
+    (0.9, ("very positive", "extremely positive")),
+    (0.6, ("positive", "bullish")),
+    (0.3, ("slightly positive", "mildly positive")),
+    (0.0, ("neutral", "balanced")),
+)
+# Names of the fields of key-value lines.
+LINE_FIELDS = ("contract", "date", "price", "volume", "index")
+NUMBER = r"-?(?:[0-9]+(?:[.][0-9]+)?|[.][0-9]+)"
 
 
 def keyword_pattern(words: tuple[str, ...]) -> str:
@@ -31,19 +38,10 @@ def keyword_pattern(words: tuple[str, ...]) -> str:
 
 
 def clean_html(c: Column) -> Column:
-    """Text without scripts, styles, comments and tags; entities stay; white space is single, none before .,!? or at the ends."""
-    for pattern, to in (
-        (r"<escaped>", "\u0001"),
-        (r"(?s)<script[^>]*>.*?</script>", ""),
-        (r"(?s)<style[^>]*>.*?</style>", ""),
-        (r"(?s)<!--.*?-->", ""),
-        (r"<[^>]+>", " "),
-        ("\u0001", "<escaped>"),
-        (r"\s+", " "),
-        (r"\s+([.,!?])", "$1"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
+    """Text without scripts, styles, comments and tags (the word <escaped> stays); entities stay; white space is single, none before .,!? or at the ends."""
+    unseen = F.regexp_replace(c, r"(?s)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", "")
+    bare = F.regexp_replace(unseen, r"<(?!escaped>)[^>]+>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+(?=[.,!?])", ""), r"\s+", " "))
 
 
 def normalise_punctuation(c: Column) -> Column:
@@ -67,17 +65,45 @@ def triage(title: Column, text: Column, topic_passed: Column | None = None, leas
     return F.struct((reason == "passed").alias("passed"), reason.alias("reason"))
 
 
-def first_keywords(c: Column, zones: dict[str, tuple[str, ...]] = ZONES) -> Column:
+def replace_words(c: Column, words: dict[str, str]) -> Column:
+    """Whole words replaced by what they stand for (slang, transliterations), whatever their case; white space becomes single."""
+    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else None
+    if table is None:
+        return c
+    pieces = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{M}\p{Nd}]+|[^\p{L}\p{M}\p{Nd}\s]+|\s+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda w: F.when(F.trim(w) == "", " ").otherwise(F.coalesce(table[F.lower(w)], w))), "")
+
+
+def first_keywords(c: Column, zones: dict[str, tuple[str, ...]]) -> Column:
     """array<struct(zone, word)>: the first word of each zone's list that occurs, in the order of the zones."""
     found = [F.struct(F.lit(z).alias("zone"), F.coalesce(*(F.when(c.rlike(keyword_pattern((w,))), w) for w in ws)).alias("word")) for z, ws in zones.items()]
     return F.filter(F.array(*found), lambda x: x["word"].isNotNull())
 
 
+def line_kinds(line: Column, names: tuple[str, ...] = LINE_FIELDS) -> Column:
+    """Which kinds of structured line a line is: "bullet", "item" (numbered), "row" (of a table with bars), "field" (a known name before : or -)."""
+    first, rest = F.left(line, F.lit(1)), F.trim(F.substr(line, F.lit(2)))
+    head = F.substring_index(line, ".", 1)
+    cut = F.least(*(F.when(F.instr(line, m) > 0, F.instr(line, m)).otherwise(F.length(line) + 1) for m in ":-"))
+    name, value = F.lower(F.trim(F.left(line, cut - 1))), F.trim(F.substr(line, cut + 1))
+    kinds = (
+        ("bullet", first.isin("*", "-", "•") & (rest != "")),
+        ("item", line.contains(".") & head.rlike("^[0-9]+$") & (F.length(line) > F.length(head) + 1)),
+        ("row", (first == "|") & rest.contains("|")),
+        ("field", name.isin(*names) & (value != "")),
+    )
+    return F.filter(F.array(*(F.when(test, kind) for kind, test in kinds)), lambda k: k.isNotNull())
+
+
 def structured_lines(c: Column, words: tuple[str, ...] = COMMODITY_WORDS) -> Column:
-    """Bullets, numbered items, table rows and key-value lines that hold a keyword; a line may come once per kind."""
-    kinds = (r"(?m)^[*\-•]\s*.+", r"(?m)^\d+\.\s*.+", r"(?m)^\|.*\|", r"(?im)^(?:Contract|Date|Price|Volume|Index)\s*[:\-]\s*.+")
-    lines = F.concat(*(F.regexp_extract_all(c, F.lit(k), F.lit(0)) for k in kinds))
-    return F.transform(F.filter(lines, lambda x: x.rlike(keyword_pattern(words))), lambda x: F.trim(x))
+    """array<struct(kind, line)> of the structured lines that hold a keyword, by kind and then in the order of the text; a line comes once per kind."""
+    lines = F.filter(F.split(c, "\r?\n"), lambda x: x.rlike(keyword_pattern(words)))
+    each = F.transform(lines, lambda x: F.struct(line_kinds(x).alias("kinds"), F.trim(x).alias("line")))
+
+    def of_kind(k: str) -> Column:
+        return F.transform(F.filter(each, lambda x: F.array_contains(x["kinds"], k)), lambda x: F.struct(F.lit(k).alias("kind"), x["line"].alias("line")))
+
+    return F.concat(*map(of_kind, ("bullet", "item", "row", "field")))
 
 
 def row_fields(line: Column) -> Column:
@@ -85,17 +111,38 @@ def row_fields(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, r"\|"), lambda x: F.regexp_replace(x, r"^[\s.,:;-]+|[\s.,:;-]+$", "")), lambda x: x != "")
 
 
-def content_text(c: Column) -> Column:
-    """Lower case without addresses, punctuation and repeated white space: what two deliveries of one text share."""
-    c = F.lower(c)
-    for pattern in (r"https?://\S+|www\.\S+", r"[^\s@]{1,64}@[^\s@]+", r"[^\p{L}\p{M}\p{Nd}\s]", r"\s+"):
-        c = F.regexp_replace(c, pattern, " ")
-    return F.trim(c)
+def line_fields(line: Column, names: dict[str, tuple[str, ...]]) -> Column:
+    """struct with, for each name, what follows the first of its words in the line (and a colon or dash) up to the next blank, bar or semicolon; null if none does."""
+
+    def value(words: tuple[str, ...]) -> Column:
+        after = F.regexp_extract(line, keyword_pattern(words) + r"[\s:-]*([^\s|;]+)", 1)
+        return F.nullif(F.regexp_replace(after, r"^[.,:-]+|[.,:-]+$", ""), F.lit(""))
+
+    return F.struct(*(value(words).alias(name) for name, words in names.items()))
+
+
+_NO_CONTENT = r"https?://\S+|www\.\S+|[^\s@]{1,64}@[^\s@]+|[^\p{L}\p{M}\p{Nd}]"
+
+
+def content_text(c: Column, synonyms: dict[str, str] | None = None, stop: tuple[str, ...] = ()) -> Column:
+    """Lower case without addresses, punctuation and repeated white space: what two deliveries of one text share.
 
+    With synonyms, every word becomes what it stands for; stop words go.
+    """
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), _NO_CONTENT, " "), r" {2,}", " "))
+    if not synonyms and not stop:
+        return plain
+    words = F.split(plain, " ")
+    if synonyms:
+        table = F.create_map(*(F.lit(x) for kv in synonyms.items() for x in kv))
+        words = F.transform(words, lambda w: F.coalesce(table[w], w))
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*stop)) if stop else words, " ")
 
-def content_key(title: Column, text: Column, source: Column) -> Column:
+
+def content_key(title: Column, text: Column, source: Column, synonyms: dict[str, str] | None = None, stop: tuple[str, ...] = ()) -> Column:
     """MD5 of the normalised title and text and the source, missing parts empty."""
-    return F.md5(F.concat_ws("|", F.coalesce(content_text(title), F.lit("")), F.coalesce(content_text(text), F.lit("")), F.coalesce(F.lower(F.trim(source)), F.lit(""))))
+    parts = (content_text(title, synonyms, stop), content_text(text, synonyms, stop), F.lower(F.trim(source)))
+    return F.md5(F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in parts)))
 
 
 def article_id(url: Column, title: Column, day: Column, asset: Column) -> Column:
@@ -118,25 +165,40 @@ def rough_tokens(c: Column) -> Column:
 
 
 def pack_sentences(c: Column, most: int = 1024, least: int = 512) -> Column:
-    """array of parts of at most about `most` rough tokens, cut after sentences; parts under `least` go on growing, a short tail joins its predecessor."""
-    sentences = F.split(c, r"(?<=[.!?])\s+")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"), F.lit(0).alias("n"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = rough_tokens(s)
-        close = (acc["n"] + n > most) & (acc["now"] != "") & (acc["n"] >= least)
-        joined = F.when(acc["now"] == "", s).otherwise(F.concat(acc["now"], F.lit(" "), s))
+    """array of parts of about `most` rough tokens at most, cut after sentences.
+
+    A sentence beyond `most` gives way to its paragraphs, and a paragraph beyond it to its words. A part is closed where
+    the next unit would take it beyond `most`, but not before it has `least`; a last part under `least` joins its predecessor.
+    """
+
+    def sized(x: Column) -> Column:
+        return F.struct(x.alias("unit"), rough_tokens(x).cast("double").alias("n"))
+
+    def by_words(p: Column) -> Column:
+        return F.transform(F.split(p, r"\s+"), lambda w: F.struct(w.alias("unit"), ((F.length(w) + 1) / 4.0).alias("n")))
+
+    def by_paragraphs(s: Column) -> Column:
+        return F.flatten(F.transform(F.split(s, "\n\n"), lambda p: F.when(rough_tokens(p) > most, by_words(p)).otherwise(F.array(sized(p)))))
+
+    sentences = F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0000"), "\u0000")
+    units = F.flatten(F.transform(sentences, lambda s: F.when(rough_tokens(s) > most, by_paragraphs(s)).otherwise(F.array(sized(s)))))
+    # the numbers of the units that begin a part: a fold over sizes only
+    begin = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0.0).alias("n"), F.lit(1).alias("at"))
+
+    def step(acc: Column, u: Column) -> Column:
+        close = (acc["n"] + u["n"] > most) & (acc["n"] >= least) & (acc["at"] > 1)
         return F.struct(
-            F.when(close, F.concat(acc["parts"], F.array(F.trim(acc["now"])))).otherwise(acc["parts"]).alias("parts"),
-            F.when(close, s).otherwise(joined).alias("now"), F.when(close, n).otherwise(acc["n"] + n).alias("n"),
+            F.when(close, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+            F.when(close, u["n"]).otherwise(acc["n"] + u["n"]).alias("n"), (acc["at"] + 1).alias("at"),
         )
 
-    def finish(acc: Column) -> Column:
-        k = F.size(acc["parts"])
-        short_tail = F.concat(F.slice(acc["parts"], 1, F.greatest(k - 1, F.lit(0))), F.array(F.concat(F.element_at(acc["parts"], F.greatest(k, F.lit(1))), F.lit(" "), acc["now"])))
-        return F.when((acc["n"] >= least) | (k == 0), F.concat(acc["parts"], F.array(F.trim(acc["now"])))).otherwise(short_tail)
+    def parts(units: Column) -> Column:
+        end = F.aggregate(units, begin, step)
+        starts = F.when((end["n"] < least) & (F.size(end["starts"]) > 1), F.slice(end["starts"], 1, F.size(end["starts"]) - 1)).otherwise(end["starts"])
+        texts = F.transform(units, lambda u: u["unit"])
+        return F.transform(starts, lambda s, i: F.trim(F.array_join(F.slice(texts, s, F.coalesce(F.try_element_at(starts, i + 2), F.size(units) + 1) - s), " ")))
 
-    return F.when(rough_tokens(c) <= most, F.array(c)).otherwise(F.aggregate(sentences, start, step, finish))
+    return F.when(rough_tokens(c) <= most, F.array(c)).otherwise(F.element_at(F.transform(F.array(units), parts), 1))
 
 
 def to_last_sentence(c: Column, budget: int, share: float = 0.7) -> Column:
@@ -159,16 +221,16 @@ def _number(c: Column) -> Column:
 
 
 def reply_score(c: Column) -> Column:
-    """A score in [-1, 1] from free text: a stated score, else a word of mood, else the last number if it lies there, else 0."""
+    """A score in [-1, 1] from free text: a stated score, else a word of mood (MOODS), else the last number if it lies there, else 0."""
     low = F.lower(c)
-    stated = F.coalesce(_number(F.regexp_extract(low, r"sentiment score(?:\s+is)?:?\s*(-?\d*\.?\d+)", 1)), _number(F.regexp_extract(low, r"score(?:\s+of)?:?\s*(-?\d*\.?\d+)", 1)))
-    word = (
-        F.when(low.rlike("very negative|extremely negative"), -0.9).when(low.rlike("negative|bearish"), -0.6).when(low.rlike("very positive|extremely positive"), 0.9)
-        .when(low.rlike("positive|bullish"), 0.6).when(low.rlike("neutral|balanced"), 0.0)
-    )
+
+    def after(name: str) -> Column:
+        return _number(F.regexp_extract(low, rf"{name}(?: is| of)?[\s:]*({NUMBER})", 1))
+
+    stated = F.coalesce(after("sentiment score"), after("score"))
+    mood = F.coalesce(*(F.when(low.rlike("|".join(words)), score) for score, words in MOODS))
     number = last_number(c)
-    clamped = F.when(stated.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), stated)))
-    return F.coalesce(clamped, word, F.when(number.between(-1.0, 1.0), number), F.lit(0.0))
+    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), stated)) + F.when(stated.isNotNull(), 0.0), mood, F.when(number.between(-1.0, 1.0), number), F.lit(0.0))
 
 
 def score_label(score: Column, edge: float = 0.15) -> Column:
@@ -190,36 +252,42 @@ def reply_label(c: Column) -> Column:
     return F.coalesce(F.lower(told), keyed, word)
 
 
+def _last(c: Column, pattern: str) -> Column:
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(-1))
+
+
 def last_number(c: Column) -> Column:
-    return F.try_element_at(F.regexp_extract_all(c, F.lit(r"(-?\d*\.?\d+)"), F.lit(1)), F.lit(-1)).try_cast("double")
+    return _last(c, f"({NUMBER})").try_cast("double")
 
 
 def last_stated(c: Column, name: str) -> Column:
-    """The last number stated as "name: x" or "name = x"."""
-    found = F.regexp_extract_all(c, F.lit(rf"(?i){name}\s*[:=]\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"), F.lit(1))
-    return F.try_element_at(found, F.lit(-1)).try_cast("double")
-
-
-def last_boxed(c: Column, command: str = r"\boxed") -> Column:
-    """What stands in the braces of the last boxed command, nested braces included; empty if there is none or a brace is missing."""
-    reverse_at = F.instr(F.reverse(c), command[::-1])
-    tail = F.when(reverse_at > 0, F.right(c, reverse_at + len(command) - 1)).otherwise("")
-    body = F.regexp_extract(tail, r"(?s)\{(.*)", 1)
-    step = F.aggregate(
-        F.split(body, ""),
-        F.struct(F.lit(1).alias("level"), F.lit("").alias("out")),
-        lambda acc, ch: F.when(acc["level"] == 0, acc).otherwise(
-            F.struct(
-                (acc["level"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)).alias("level"),
-                F.when((ch == "}") & (acc["level"] == 1), acc["out"]).otherwise(F.concat(acc["out"], ch)).alias("out"),
-            )
-        ),
+    """The last number stated as "name: x" or "name = x", in any case."""
+    return _last(F.lower(c), rf"{name.lower()}\s*[:=]\s*([+]?{NUMBER}(?:e[-+]?[0-9]+)?)").try_cast("double")
+
+
+def last_boxed(c: Column, commands: tuple[str, ...] = (r"\boxed", r"\fbox")) -> Column:
+    """What stands in the braces of the last boxed command, nested braces included; empty if there is none or a brace is missing.
+
+    With several commands, the first that occurs counts.
+    """
+    at = F.coalesce(*(F.when(F.instr(c, k) > 0, F.length(c) - F.instr(F.reverse(c), k[::-1]) - len(k) + 2) for k in commands))
+    body = F.regexp_extract(F.substr(c, at), r"(?s)\{(.*)", 1)
+    # depth after each character; the body ends at the first place where it falls to -1
+    marks = F.transform(F.split(body, ""), lambda ch: F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0))
+    level = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("i"), F.lit(-1).alias("end")),
+        lambda acc, m: F.struct((acc["depth"] + m).alias("depth"), (acc["i"] + 1).alias("i"), F.when((acc["end"] < 0) & (acc["depth"] + m < 0), acc["i"]).otherwise(acc["end"]).alias("end")),
     )
-    return F.when(step["level"] == 0, step["out"]).otherwise("")
+    return F.when(c.isNotNull(), F.coalesce(F.when(level["end"] >= 0, F.left(body, level["end"])), F.lit("")))
 
 
 def plain_answer(c: Column) -> Column:
-    """An answer for comparison: no blanks, signs of currency, degrees or percent, or leading zeros; a trailing .0 goes."""
+    """An answer for comparison: no blanks, signs of currency, degrees or percent, or leading zeros; a trailing .0 goes.
+
+    Fractions are written out: \\frac12, \\dfrac{1}{2} and 1/2 agree.
+    """
+    c = F.regexp_replace(c, r"\\[dt]?frac\s*(?:\{([^{}]*)\}|(\d))\s*(?:\{([^{}]*)\}|(\d))", "$1$2/$3$4")
     c = F.regexp_replace(c, r"[\s$%°,]|\\(?:left|right|!|,|;)", "")
     c = F.regexp_replace(c, r"^(-?)0+(?=\d)", "$1")
     return F.regexp_replace(c, r"\.0+$", "")

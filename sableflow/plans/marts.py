@@ -79,8 +79,8 @@ def layered_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return x.select("news_no", layer.alias("layer")).where("layer is not null")
 
 
-_KEY = r"""md5(concat(coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\s@]{1,64}@[^\s@]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')), ''), '|',
- coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\s@]{1,64}@[^\s@]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')), ''), '|'))"""
+_PLAIN = r"coalesce(trim(regexp_replace(regexp_replace(lower({c}), 'https?://\S+|www\.\S+|[^\s@]{{1,64}}@[^\s@]+|[^\p{{L}}\p{{M}}\p{{Nd}}]', ' ', 'g'), ' {{2,}}', ' ', 'g')), '')"
+_KEY = f"md5(concat({_PLAIN.format(c='title')}, '|', {_PLAIN.format(c='text')}, '|'))"
 _LAYERS_SQL = f"""WITH x AS (SELECT news_no, id, json_extract_string(metadata, '$.url') AS url, {_KEY} AS k FROM news),
 f AS (SELECT *, min(news_no) OVER (PARTITION BY url) AS fu, min(news_no) OVER (PARTITION BY k) AS fk, min(news_no) OVER (PARTITION BY id) AS fi FROM x)
 SELECT * FROM (SELECT news_no, CASE WHEN url IS NOT NULL AND fu < news_no THEN 'url' WHEN fk < news_no THEN 'content' WHEN id IS NOT NULL AND fi < news_no THEN 'id' END AS layer FROM f) WHERE layer IS NOT NULL"""

@@ -23,8 +23,8 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     return register
 
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
- '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '\s+([.,!?])', '\1', 'g'))"""
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c},
+ '<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'g'), '\s+([.,!?])', '\1', 'g'), '\s+', ' ', 'g'))"""
 
 
 @query("clean_html", f"SELECT news_no, md5({_CLEAN.format(c='text')}) AS cleaned, length({_CLEAN.format(c='text')}) AS n FROM news")
@@ -47,25 +47,72 @@ def triage(spark: SparkSession, d: str) -> DataFrame:
     return x.select("news_no", "r.passed", "r.reason")
 
 
-@query("zones")
+ZONES = {"metal": ("zinc", "copper", "aluminium", "Zink", "cobre"), "energy": ("oil", "ethanol", "petróleo"), "weather": ("rain", "frost", "drought", "lluvia", "chuva")}
+
+
+def _has(word: str) -> str:
+    return rf"regexp_matches(t, '(?i)(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}]){word}(?:[^\p{{L}}\p{{M}}\p{{Nd}}]|$)')"
+
+
+_ZONES_SQL = " UNION ALL ".join(f"SELECT news_no, '{z}' AS zone, CASE {' '.join(f"WHEN {_has(w)} THEN '{w}'" for w in ws)} END AS word FROM x" for z, ws in ZONES.items())
+
+
+@query("zones", f"WITH x AS (SELECT news_no, concat_ws(' ', title, text) AS t FROM news) SELECT * FROM ({_ZONES_SQL}) WHERE word IS NOT NULL")
 def zones(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "news").select("news_no", F.explode(t.first_keywords(F.concat_ws(" ", "title", "text"))).alias("z"))
+    x = table(spark, d, "news").select("news_no", F.explode(t.first_keywords(F.concat_ws(" ", "title", "text"), ZONES)).alias("z"))
     return x.select("news_no", "z.zone", "z.word")
 
 
-@query("structured_lines")
+_LINE_WORDS = (*t.COMMODITY_WORDS, "zinc", "copper", "Zink", "cobre", "cuivre")
+_LINES = "'Lots today' || chr(10) || '* sugar ' || s_suppkey || chr(10) || s_suppkey || '. raw  sugar' || chr(10) || '| sugar | ' || s_acctbal || ' |' || chr(10) || CASE s_suppkey % 3 WHEN 0 THEN 'Price: sugar 9' WHEN 1 THEN 'Price: zinc 9' ELSE 'Prices: sugar 9' END || chr(10) || '- index - sugar'"
+_LINES_SQL = """SELECT s_suppkey, unnest(list_filter(['bullet', 'bullet', 'item', 'row', CASE WHEN s_suppkey % 3 = 0 THEN 'field' END], lambda k: k IS NOT NULL)) AS kind,
+  unnest(list_filter(['* sugar ' || s_suppkey, '- index - sugar', s_suppkey || '. raw  sugar', '| sugar | ' || s_acctbal || ' |', CASE WHEN s_suppkey % 3 = 0 THEN 'Price: sugar 9' END], lambda k: k IS NOT NULL)) AS line FROM supplier"""
+
+
+@query("structured_lines", _LINES_SQL)
 def structured_lines(spark: SparkSession, d: str) -> DataFrame:
-    words = (*t.COMMODITY_WORDS, "zinc", "copper", "Zink", "cobre", "cuivre")
-    rows = F.regexp_extract_all("text", F.lit(r"(?m)^[^\n|]+(?:\|[^\n|]+)+$"), F.lit(0))
-    x = table(spark, d, "news").select("news_no", F.explode(F.concat(rows, t.structured_lines(F.col("text"), words))).alias("line"))
-    return x.select("news_no", F.array_join(t.row_fields(F.col("line")), ";").alias("cells"))
+    x = table(spark, d, "supplier").select("s_suppkey", F.explode(t.structured_lines(F.expr(_LINES.replace("chr(10)", r"'\n'")))).alias("l"))
+    return x.select("s_suppkey", "l.kind", "l.line")
 
 
-@query("content_key", r"""
-SELECT news_no, md5(concat(coalesce(n1, ''), '|', coalesce(n2, ''), '|', coalesce(lower(trim(source)), ''))) AS k FROM (SELECT news_no, source,
- trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\s@]{1,64}@[^\s@]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n1,
- trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '[^\s@]{1,64}@[^\s@]+', ' ', 'g'), '[^\p{L}\p{M}\p{Nd}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n2 FROM news)
-""")
+_ROWS_SQL = r"""SELECT news_no, md5(array_to_string(list_filter(list_transform(string_split(line, '|'), lambda c: regexp_replace(c, '^[\s.,:;-]+|[\s.,:;-]+$', '', 'g')), lambda c: c <> ''), ';')) AS cells, count(*) AS n
+FROM (SELECT news_no, unnest(string_split(text, chr(10))) AS line FROM news WHERE text IS NOT NULL) WHERE contains(line, '|') GROUP BY ALL"""
+
+
+@query("row_fields", _ROWS_SQL)
+def row_fields(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "news").select("news_no", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").contains("|"))
+    return lines.groupBy("news_no", F.md5(F.array_join(t.row_fields(F.col("line")), ";")).alias("cells")).agg(F.count("*").alias("n"))
+
+
+@query("line_fields", """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS contract, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS price FROM orders""")
+def line_fields(spark: SparkSession, d: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" | Settle - "), F.floor("o_totalprice").cast("string"), F.lit("."))).otherwise("")
+    line = F.concat(F.lit("Lot: "), F.col("o_custkey").cast("string"), F.lit("; DATE "), F.date_format("o_orderdate", "yyyy-MM-dd"), price)
+    x = table(spark, d, "orders").select("o_orderkey", t.line_fields(line, {"contract": ("contract", "lot"), "date": ("date",), "price": ("price", "settle")}).alias("f"))
+    return x.select("o_orderkey", "f.contract", "f.date", "f.price")
+
+
+_SLANG = {"tons": "tonnes", "vs": "versus"}
+
+
+@query("replace_words", r"""SELECT pred_no, md5(regexp_replace(regexp_replace(regexp_replace(title, '\s+', ' ', 'g'), '(?i)\btons\b', 'tonnes', 'g'), '(?i)\bvs\b', 'versus', 'g')) AS k FROM sugar_complete_dataset_with_predictions WHERE regexp_full_match(title, '[ -~]*') AND NOT contains(title, '_')""")
+def replace_words(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, PRED).where(r"title rlike '^[ -~]*$' and not contains(title, '_')")
+    return x.select("pred_no", F.md5(t.replace_words(F.col("title"), _SLANG)).alias("k"))
+
+
+@query("folded_content", r"""SELECT pred_no, md5(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(lower(title), 'https?://\S+|www\.\S+|[^\s@]{1,64}@[^\s@]+|[^\p{L}\p{M}\p{Nd}]', ' ', 'g'), ' {2,}', ' ', 'g')), ' '),
+ lambda w: CASE w WHEN 'rises' THEN 'rise' WHEN 'climbs' THEN 'rise' WHEN 'falls' THEN 'fall' ELSE w END), lambda w: w NOT IN ('the', 'of', 'a')), ' ')) AS k FROM sugar_complete_dataset_with_predictions""")
+def folded_content(spark: SparkSession, d: str) -> DataFrame:
+    c = t.content_text(F.col("title"), {"rises": "rise", "climbs": "rise", "falls": "fall"}, ("the", "of", "a"))
+    return table(spark, d, PRED).select("pred_no", F.md5(c).alias("k"))
+
+
+_PLAIN = r"coalesce(trim(regexp_replace(regexp_replace(lower({c}), 'https?://\S+|www\.\S+|[^\s@]{{1,64}}@[^\s@]+|[^\p{{L}}\p{{M}}\p{{Nd}}]', ' ', 'g'), ' {{2,}}', ' ', 'g')), '')"
+
+
+@query("content_key", f"SELECT news_no, md5(concat({_PLAIN.format(c='title')}, '|', {_PLAIN.format(c='text')}, '|', coalesce(lower(trim(source)), ''))) AS k FROM news")
 def content_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "news").select("news_no", t.content_key(F.col("title"), F.col("text"), F.col("source")).alias("k"))
 
@@ -117,11 +164,11 @@ def suffixed_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", t.suffixed_number(F.expr(_SUFFIX.replace("VARCHAR", "STRING"))).alias("value"))
 
 
-_SCORE = r"""coalesce(CASE WHEN regexp_matches(lower(raw_prediction), 'sentiment score(?:\s+is)?:?\s*(-?\d*\.?\d+)') THEN least(1.0, greatest(-1.0, try_cast(regexp_extract(lower(raw_prediction), 'sentiment score(?:\s+is)?:?\s*(-?\d*\.?\d+)', 1) AS DOUBLE))) END,
- CASE WHEN regexp_matches(lower(raw_prediction), 'score(?:\s+of)?:?\s*(-?\d*\.?\d+)') THEN least(1.0, greatest(-1.0, try_cast(regexp_extract(lower(raw_prediction), 'score(?:\s+of)?:?\s*(-?\d*\.?\d+)', 1) AS DOUBLE))) END,
- CASE WHEN regexp_matches(lower(raw_prediction), 'very negative|extremely negative') THEN -0.9 WHEN regexp_matches(lower(raw_prediction), 'negative|bearish') THEN -0.6 WHEN regexp_matches(lower(raw_prediction), 'very positive|extremely positive') THEN 0.9
-  WHEN regexp_matches(lower(raw_prediction), 'positive|bullish') THEN 0.6 WHEN regexp_matches(lower(raw_prediction), 'neutral|balanced') THEN 0.0 END,
- CASE WHEN try_cast(regexp_extract_all(raw_prediction, '(-?\d*\.?\d+)', 1)[-1] AS DOUBLE) BETWEEN -1 AND 1 THEN try_cast(regexp_extract_all(raw_prediction, '(-?\d*\.?\d+)', 1)[-1] AS DOUBLE) END, 0.0)"""
+_SAID = rf"try_cast(regexp_extract(lower(raw_prediction), '{{name}}(?: is| of)?[\s:]*({t.NUMBER})', 1) AS DOUBLE)"
+_MOOD = " ".join(f"WHEN regexp_matches(lower(raw_prediction), '{'|'.join(words)}') THEN {score}" for score, words in t.MOODS)
+_LAST = f"try_cast(regexp_extract_all(raw_prediction, '({t.NUMBER})', 1)[-1] AS DOUBLE)"
+_STATED = f"coalesce({_SAID.format(name='sentiment score')}, {_SAID.format(name='score')})"
+_SCORE = f"coalesce(CASE WHEN {_STATED} IS NOT NULL THEN least(1.0, greatest(-1.0, {_STATED})) END, CASE {_MOOD} END, CASE WHEN {_LAST} BETWEEN -1 AND 1 THEN {_LAST} END, 0.0)"
 
 
 @query("reply_score", f"""
@@ -142,7 +189,7 @@ def reply_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, PRED).select("pred_no", t.reply_label(F.col("raw_prediction")).alias("label"))
 
 
-@query("last_number", rf"SELECT pred_no, try_cast(regexp_extract_all(raw_prediction, '(-?\d*\.?\d+)', 1)[-1] AS DOUBLE) AS value FROM {PRED}")
+@query("last_number", f"SELECT pred_no, {_LAST} AS value FROM {PRED}")
 def last_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, PRED).select("pred_no", t.last_number(F.col("raw_prediction")).alias("value"))
 

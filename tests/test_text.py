@@ -52,11 +52,17 @@ def test_triage_gates(spark):
 
 
 def test_zones_and_lines(spark):
-    got = one(spark, t.first_keywords, "The port price rose after the flood in India")
-    assert [(z.zone, z.word) for z in got] == [("market", "price"), ("event", "flood"), ("region", "india")]
-    text = "intro\n* sugar 14.2\n1. Raw sugar 15\n| sugar | 3 |\nPrice: sugar 9\n| zinc | 2 |"
-    assert one(spark, t.structured_lines, text) == ["* sugar 14.2", "1. Raw sugar 15", "| sugar | 3 |", "Price: sugar 9"]
+    got = one(spark, lambda c: t.first_keywords(c, {"market": ("fee", "price"), "event": ("storm", "flood"), "none": ("x",)}), "The port price rose after the flood in India")
+    assert [(z.zone, z.word) for z in got] == [("market", "price"), ("event", "flood")]
+    text = "intro\n* sugar 14.2\n1. Raw sugar 15\r\n| sugar | 3 |\nPrice: sugar 9\n| zinc | 2 |\n- index - sugar"
+    got = [(x.kind, x.line) for x in one(spark, t.structured_lines, text)]
+    assert got == [("bullet", "* sugar 14.2"), ("bullet", "- index - sugar"), ("item", "1. Raw sugar 15"), ("row", "| sugar | 3 |"), ("field", "Price: sugar 9")]
+    assert one(spark, t.structured_lines, None) is None and one(spark, t.structured_lines, "") == []
     assert one(spark, t.row_fields, "| zinc | 2.50 , |") == ["zinc", "2.50"]
+    got = one(spark, lambda c: t.line_fields(c, {"price": ("price", "close"), "volume": ("qty",)}), "Close: 14.20, qty - 3")
+    assert (got.price, got.volume) == ("14.20", "3")
+    assert one(spark, lambda c: t.replace_words(c, {"lc": "letter of credit"}), "An LC, not  lca") == "An letter of credit, not lca"
+    assert one(spark, lambda c: t.content_text(c, {"gains": "rise"}, ("the",)), "The Mill GAINS, see www.x.y") == "mill rise see"
 
 
 def test_keys(spark):
@@ -77,6 +83,11 @@ def test_pack_sentences(spark):
     parts = one(spark, lambda c: t.pack_sentences(c, 64, 32), text)
     assert " ".join(parts) == text and all(len(p) // 4 <= 110 for p in parts) and len(parts) > 4
     assert one(spark, lambda c: t.pack_sentences(c, 64, 32), "short") == ["short"]
+    endless = " ".join(f"word{i}" for i in range(400))
+    parts = one(spark, lambda c: t.pack_sentences(c, 64, 32), endless)
+    assert " ".join(parts) == endless and all(len(p) <= 4 * 66 for p in parts[:-1])
+    paragraphs = "\n\n".join(["lot " * 50] * 4).strip()
+    assert len(one(spark, lambda c: t.pack_sentences(c, 64, 32), paragraphs)) == 4
     assert one(spark, lambda c: t.to_last_sentence(c, 12), "One. Two is long") == "One. Two is "
     assert one(spark, lambda c: t.to_last_sentence(c, 10), "One two. Three") == "One two."
 
@@ -89,13 +100,14 @@ def test_suffixed_number(spark, s, want):
 @pytest.mark.parametrize(
     ("reply", "score", "label"),
     [
-        ("The sentiment score is -0.4 overall", -0.4, "negative"),
-        ("Score: 3", 1.0, "positive"),
-        ("very negative outlook", -0.9, "negative"),
-        ("I feel bullish", 0.6, "positive"),
-        ("balanced", 0.0, "neutral"),
-        ("values 5 and 0.3", 0.3, "positive"),
-        ("nothing", 0.0, "neutral"),
+        ("Overall I put the sentiment score at about half; Sentiment score: -.35", -0.35, "negative"),
+        ("a score of 3 for this lot", 1.0, "positive"),
+        ("An extremely positive harvest", 0.9, "positive"),
+        ("traders turned bearish after lunch", -0.6, "negative"),
+        ("only slightly negative", -0.6, "negative"),
+        ("a balanced book", 0.0, "neutral"),
+        ("of 12 mills, .25 closed", 0.25, "positive"),
+        ("", 0.0, "neutral"),
     ],
 )
 def test_reply_score(spark, reply, score, label):
@@ -116,7 +128,8 @@ def test_last_things(spark):
     assert one(spark, lambda c: t.last_stated(c, "diversity"), "diversity: 0.1 Diversity = 0.8000.") == 0.8
     assert one(spark, t.last_boxed, r"\boxed{1} and \boxed{a{b}c} end") == "a{b}c"
     assert one(spark, t.last_boxed, r"\boxed{open") == "" and one(spark, t.last_boxed, "none") == ""
-    assert one(spark, t.plain_answer, " 007.0 %") == "7"
+    assert one(spark, t.last_boxed, r"\fbox{x}") == "x" and one(spark, t.last_boxed, r"\fbox{x} \boxed{}") == "" and one(spark, t.last_boxed, None) is None
+    assert one(spark, t.plain_answer, " 007.0 %") == "7" and one(spark, t.plain_answer, r"\dfrac{1}2") == one(spark, t.plain_answer, r"\frac12") == "1/2"
 
 
 def test_search_query():
