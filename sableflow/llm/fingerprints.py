@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sableflow.functions.words import chunks, mix64, run_hashes, words
+from sableflow.session import cut, saved
 
 BYTES = 160
 SEGMENT = 4
@@ -198,20 +199,96 @@ def bucket_pairs(keyed: DataFrame, most: int | None, marked: bool = False) -> Da
     return keyed.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "new").mapInArrow(of, PAIRS)
 
 
-def candidate_pairs(fps: DataFrame, keys_of: Callable, most: int = 200) -> DataFrame:
-    """Distinct pairs (a < b) of ids whose fingerprints share the key of a segment.
+def candidates(keyed: DataFrame, prints_of: Callable[[DataFrame], DataFrame], keys_of: Callable[[np.ndarray], np.ndarray], most: int = 200, dense: int = 50) -> tuple[DataFrame, DataFrame | None]:
+    """keyed: key, id, new. Distinct pairs (a < b) of ids that share the key of a segment, the later one new; and members of dense groups.
 
-    Segments shared by more than `most` fingerprints are refined: their rows meet again under refined_keys().
+    Keys shared by more than `most` rows are refined: their rows meet again under refined_keys(). Where more than `dense`
+    rows meet under one of those, which only texts with much in common do, no pairs are made; such rows come back as
+    (id, label), the label naming their group of groups, for dense_links(). prints_of gives (id, fp) of a table of ids.
     """
-    from sableflow.session import saved
-
-    first = saved(bucket_pairs(segment_keys(fps, keys_of), most).distinct())
-    pairs, hot = first.where("b is not null").select("a", "b"), first.where("b is null")
+    first = saved(bucket_pairs(keyed, most, marked=True).distinct())
+    pairs, hot = first.where("b is not null").select("a", "b"), first.where("b is null").select(F.col("a").alias("id"), "hot")
     if hot.isEmpty():
-        return pairs
-    rows = hot.select(F.col("a").alias("id"), "hot").join(fps, "id")
-    again = refined_keys(rows, keys_of)
-    return pairs.unionByName(bucket_pairs(again, None).select("a", "b")).distinct()
+        return pairs, None
+    new = keyed.where("new = 1").select("id", "new").distinct()
+    again = refined_keys(hot.join(prints_of(hot.select("id").distinct()), "id"), keys_of)
+    again = again.join(new, "id", "left").select("key", "id", F.coalesce("new", F.lit(0).cast("bigint")).alias("new"))
+    second = saved(bucket_pairs(again, dense, marked=True).distinct())
+    pairs = pairs.unionByName(second.where("b is not null").select("a", "b")).distinct()
+    rows = second.where("b is null").select(F.col("a").alias("id"), "hot")
+    return pairs, None if rows.isEmpty() else groups_of_groups(rows)
+
+
+def groups_of_groups(rows: DataFrame) -> DataFrame:
+    """(id, label) from (id, hot): ids that share a group, directly or through others, get the same label (the smallest id).
+
+    Smallest labels are passed on from ids to groups and back, and a label takes over the label it got itself, until
+    nothing changes; every round is an aggregation with partial sums, so no group is gathered.
+    """
+    labels = cut(rows.select("id", F.col("id").alias("label")).distinct())
+    while True:
+        of_group = rows.join(labels, "id").groupBy("hot").agg(F.min("label").alias("label"))
+        passed = rows.join(of_group, "hot").groupBy("id").agg(F.min("label").alias("label"))
+        jumped = passed.join(passed.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left")
+        now = cut(jumped.select("id", F.least("label", F.coalesce("next", "label")).alias("label")))
+        if now.join(labels.withColumnRenamed("label", "was"), "id").where("label != was").isEmpty():
+            return now
+        labels = now
+
+
+LINKS = "a bigint, b bigint, similarity double"
+
+
+def dense_links(members: DataFrame, sets: DataFrame, threshold: float, block: int = 1000) -> DataFrame:
+    """Links (a < b, similarity) inside the groups of `members` (id, label, new) whose later id is new. sets: id, fp, runs.
+
+    A group is dealt out over blocks of about `block` rows, new ones and others apart, and every pair of blocks with a
+    new one is a task of its own: fingerprints are compared first, then the sets by a product of their incidence
+    matrices. So the work is in proportion to the pairs of a group, each looked at once, and no task holds more than two blocks.
+    """
+    sizes = members.groupBy("label").agg(F.ceil(F.sum("new") / block).alias("n_new"), F.ceil(F.sum(1 - F.col("new")) / block).alias("n_old"))
+    x = members.join(sizes, "label")
+    own = F.when(F.col("new") == 1, F.pmod(F.xxhash64("id"), F.col("n_new"))).otherwise(F.col("n_new") + F.pmod(F.xxhash64("id"), F.greatest("n_old", F.lit(1))))
+    last = F.when(F.col("new") == 1, F.col("n_new") + F.col("n_old")).otherwise(F.col("n_new"))
+    x = x.where("n_new > 0").select("id", "label", "new", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), last - 1)).alias("other"))
+    x = x.select("id", "label", "new", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    limit = most_bits(threshold)
+
+    def of(key: tuple, t: pa.Table) -> pa.Table:
+        ids, new, own = (t.column(c).to_numpy() for c in ("id", "new", "own"))
+        prints = fp_array(t.column("fp").combine_chunks()).view(np.uint64)
+        lists = t.column("runs").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        row, (_, run) = np.repeat(np.arange(len(ids)), size), np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        left = np.flatnonzero(own == own.min())
+        right = np.flatnonzero(own == own.max())
+        both = np.zeros((len(left), len(right)), np.int32)
+        place = np.full(len(ids), -1)
+        sides = []
+        for side in (left, right):
+            place[:] = -1
+            place[side] = np.arange(len(side))
+            sides.append((place[row][place[row] >= 0], run[place[row] >= 0]))
+        shared = np.intersect1d(sides[0][1], sides[1][1])
+        for k in range(0, len(shared), 2048):
+            columns, parts = shared[k : k + 2048], []
+            for (r, c), side in zip(sides, (left, right), strict=True):
+                inside = (c >= columns[0]) & (c <= columns[-1])
+                at = np.searchsorted(columns, c[inside])
+                hit = columns[at] == c[inside]
+                m = np.zeros((len(side), len(columns)), np.float32)
+                m[r[inside][hit], at[hit]] = 1
+                parts.append(m)
+            both += np.rint(parts[0] @ parts[1].T).astype(np.int32)
+        similarity = both / (size[left][:, None] + size[right][None, :] - both)
+        x, y = np.nonzero(similarity >= threshold)
+        s, x, y = similarity[x, y], left[x], right[y]
+        a, b = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        keep = (ids[a] != ids[b]) & (new[b] == 1) & ((key[1] != key[2]) | (ids[x] < ids[y]))
+        keep[keep] &= np.bitwise_count(prints[a[keep]] ^ prints[b[keep]]).sum(axis=1) <= limit
+        return pa.table({"a": pa.array(ids[a[keep]], pa.int64()), "b": pa.array(ids[b[keep]], pa.int64()), "similarity": pa.array(s[keep], pa.float64())})
+
+    return x.join(sets.select("id", "fp", "runs"), "id").groupBy("label", "i", "j").applyInArrow(of, LINKS)
 
 
 def most_bits(threshold: float, sigmas: float = 6.0) -> int:

@@ -25,12 +25,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The accepted articles are the history; all twelve batches are checked against it and each other in the order of arrival."""
+    """The accepted articles are the history; all twelve batches are checked against it and each other in the order of arrival, and appended."""
     store = ArrivalStore(spark, f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}", run=3, threshold=0.6)
     news = table(spark, sf_dir, "news")
     store.append(news.select((-1 - F.col("news_no")).alias("id"), F.col("id").alias("doc"), "text"))
     batch = table(spark, sf_dir, "news_incoming").select(F.col("inc_no").alias("id"), F.col("id").alias("doc"), "text")
-    return store.check(batch, append=False).select(F.col("id").alias("inc_no")).distinct()
+    return store.check(batch).select(F.col("id").alias("inc_no")).distinct()
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,51 @@ def test_bit_difference_follows_similarity():
     prints, _ = fp.sketch(runs, starts)
     bits = int(np.bitwise_count(prints[0] ^ prints[1]).sum())
     assert abs(bits - 4 * fp.BYTES * (1 - 1 / 3)) < 90
+
+
+def versions(n, seed=4, size=120):
+    """n versions of one article, each with a few words of its own, and another article of its own for every tenth."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in range(rng.randrange(1, 9)):
+            w[rng.randrange(size)] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((n + i, " ".join(f"o{i}y{k}" for k in range(size))))
+    return rows
+
+
+def test_dense_groups_are_compared_block_by_block(spark, monkeypatch):
+    """Hot keys, refined keys and dense groups, in several blocks, against all pairs."""
+    rows = versions(90)
+    plain = fp.candidates
+    monkeypatch.setattr(fp, "candidates", lambda *a: plain(*a[:3], 20, 5))
+    blocks = fp.dense_links
+    monkeypatch.setattr(fp, "dense_links", lambda *a: blocks(*a, block=13))
+    got = found(spark, rows, run=3, threshold=0.6)
+    want = brute(rows, 3, 0.6)
+    assert len(got) == len(set(got)) and len(want) > 2000
+    assert set(got) == want
+
+
+def test_groups_of_groups(spark):
+    chain = [(i, h) for h in range(40) for i in (h, h + 1)] + [(100, 90), (101, 90)]
+    got = {r.id: r.label for r in fp.groups_of_groups(spark.createDataFrame(chain, "id bigint, hot bigint")).collect()}
+    assert {v for k, v in got.items() if k <= 40} == {0} and got[100] == got[101] == 100
+
+
+def test_ten_thousand_versions(spark):
+    """One article in ten thousand versions: some fifty million pairs, each compared once; the number of links of each version is checked for a few."""
+    rows = versions(10_000, size=60)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    members, links = near_duplicates(df, run=3, threshold=0.6)
+    assert members.count() == 11_000
+    some = [0, 17, 4_321, 9_999]
+    per = {r.id: r.n for r in links.selectExpr("explode(array(a, b)) id").where(f"id in ({', '.join(map(str, some))})").groupBy("id").count().withColumnRenamed("count", "n").collect()}
+    sets = {i: runs_of(t, 3) for i, t in rows if i < 10_000}
+    for i in some:
+        want = sum(len(sets[i] & s) >= 0.6 * len(sets[i] | s) for j, s in sets.items() if j != i)
+        assert abs(per.get(i, 0) - want) <= 0.01 * want  # pairs at the threshold are found with probability 0.996
