@@ -1,8 +1,9 @@
 from datetime import datetime, timezone
 
+import numpy as np
 import pytest
 
-from sableflow.operators.timestamps import normalise, readings, stated_times
+from sableflow.operators.timestamps import mixture, normalise, readings, stated_times
 
 
 def us(*args):
@@ -33,23 +34,26 @@ def us(*args):
         ("2022-03-17", "America/New_York", us(2022, 3, 17, 4)),
         ("2024-11-03 01:30:00", "America/New_York", us(2024, 11, 3, 5, 30)),  # comes twice: the earlier
         ("2024-11-03 01:30:00 EST", "America/New_York", us(2024, 11, 3, 6, 30)),
+        ("1631812489093618123", None, 1631812489093618),
+        ("1680700702.25", None, 1680700702 * 10**6 + 250_000),
+        ("2024-W05-3 10:00", "UTC", us(2024, 1, 31, 10)),
+        ("Aug 13, 2022 5pm", "UTC", us(2022, 8, 13, 17)),
+        ("13 August 2022 5 a.m.", "UTC", us(2022, 8, 13, 5)),
         ("2024-04-19T13:37:06.336", "Asia/Kolkata", us(2024, 4, 19, 8, 7, 6, 336000)),
     ],
 )
 def test_forms(value, zone, want):
-    kind, first, second = readings(value, zone)
-    assert kind == "one"
-    assert first == second == (want, "ok")
+    assert readings(value, zone) == ("one", ((want, "ok"),))
 
 
 @pytest.mark.parametrize("value", ["", "-", "n/a", "pending", "0000-00-00 00:00:00", "2024-13-01", "12345", "31 Foo 2024 10:00", "2024-02-30T10:00:00Z", "9" * 50])
 def test_no_instant(value):
-    assert readings(value, "Europe/Paris")[1] == (None, "none")
+    assert readings(value, "Europe/Paris") == ("one", ((None, "none"),))
 
 
 def test_skipped_and_zoneless():
-    assert readings("2024-03-31 02:30:00", "Europe/Paris")[1] == (None, "skipped")
-    assert readings("2024-03-31 02:30:00", None)[1] == (None, "no_zone")
+    assert readings("2024-03-31 02:30:00", "Europe/Paris")[1] == ((None, "skipped"),)
+    assert readings("2024-03-31 02:30:00", None)[1] == ((None, "no_zone"),)
 
 
 ROWS = "tbl string, row_no bigint, value string, source string, site_id string, status string"
@@ -89,3 +93,38 @@ def test_empty_tables(spark):
 def test_tables_in_one_shape(spark, sf):
     sot = spark.read.parquet(f"{sf}/sot_sugar.parquet")
     assert stated_times(None, sot, None).count() == sot.count()
+
+
+def test_two_digit_years_have_three_readings():
+    kind, found = readings("03/04/05", "UTC")
+    assert kind == "num" and [x[0] for x in found] == [us(2005, 4, 3), us(2005, 3, 4), us(2003, 4, 5)]
+    assert [x[1] for x in readings("31/12/70", "UTC")[1]] == ["ok", "none", "none"]
+
+
+def test_shares_are_the_fixed_point_whatever_is_shared():
+    """Shared values tell nothing by themselves: the shares are those of the decided ones and the prior, however many are shared."""
+    for both in (0, 10, 5000):
+        shares = mixture(np.array([[1.0, 0, 0], [0, 1.0, 0], [1.0, 1.0, 0]]), np.array([10.0, 90.0, both]), np.array([1.0, 1.0, 1e-9]))
+        assert shares[0] == pytest.approx(11 / 102, abs=1e-5)
+    # and a likelihood moves them
+    shares = mixture(np.array([[0.9, 0.1, 0.0]]), np.array([50.0]), np.array([1.0, 1.0, 1.0]))
+    assert shares[0] > 0.9
+
+
+def test_dates_overturn_a_wrong_declaration(spark):
+    feeds = spark.createDataFrame([("W", 1, "UTC", "DMY", "en")], FEEDS)
+    rows = [("t", i, f"04/{13 + i % 15}/2024 10:00", "W", None, None) for i in range(50)] + [("t", 100 + i, f"0{1 + i % 9}/0{1 + i % 7}/2024 10:00", "W", None, None) for i in range(500)]
+    out = {r.row_no: r for r in normalise(spark.createDataFrame(rows, ROWS), feeds).collect()}
+    assert all(r.status == "ok" for r in out.values())
+    assert out[101].utc_us == us(2024, 2, 2, 10) and out[107].utc_us == us(2024, 8, 1, 10)  # 08/01 is August
+
+
+def test_reference_times_tell_where_the_source_does_not(spark):
+    """A source that mixes both orders: what lies far from when the row was received is the less likely reading."""
+    feeds = spark.createDataFrame([("X", 1, "UTC", None, "en"), ("Y", 2, "UTC", "DMY", "en")], FEEDS)
+    sure = [("t", 1000 + i, f"{13 + i % 15}/04/2024 10:00", "Y", None, datetime(2024, 4, 13 + i % 15, 12)) for i in range(200)]
+    rows = sure + [("t", i, f"{13 + i}/04/2024 10:00", "X", None, datetime(2024, 4, 13 + i, 12)) for i in range(5)] + [("t", 5 + i, f"04/{13 + i}/2024 10:00", "X", None, datetime(2024, 4, 13 + i, 12)) for i in range(5)]
+    rows += [("t", 50, "03/04/2024 10:00", "X", None, datetime(2024, 4, 3, 11)), ("t", 51, "03/04/2024 10:00", "X", None, datetime(2024, 3, 4, 11)), ("t", 52, "03/04/2024 10:00", "X", None, None)]
+    out = {r.row_no: r for r in normalise(spark.createDataFrame(rows, ROWS.replace("status string", "near timestamp_ntz")), feeds).collect()}
+    assert out[50].utc_us == us(2024, 4, 3, 10) and out[51].utc_us == us(2024, 3, 4, 10)
+    assert out[52].status == "ambiguous" and out[52].utc_us is None
