@@ -257,7 +257,7 @@ def _clear(score: np.ndarray, label: np.ndarray, margin: float = 12.0) -> np.nda
 
 
 class Identifier:
-    """Models with their calibration: temperature of the posterior and highest acceptable cross-entropy by language."""
+    """Models with their calibration: temperature of the posterior, and highest acceptable cross-entropy by language and length."""
 
     def __init__(self, labelled: list[tuple[str, str]]) -> None:
         """labelled: (language, segment); the built-in sentences stand in for languages without any."""
@@ -266,16 +266,17 @@ class Identifier:
         if labelled:  # once more, by what the models themselves say
             score, _ = self._model(clean).scores([s for _, s in clean])
             clean = [x for x, ok in zip(clean, _clear(score, np.array([LANGUAGES.index(c) for c, _ in clean])), strict=True) if ok]
-        held = clean[::5] if len(clean) > 200 else []
-        kept = [x for i, x in enumerate(clean) if i % 5] if held else clean
-        self.model = self._model(kept)
-        self.temperature, self.ceiling = 4.0, np.full(len(LANGUAGES), np.inf)
-        if held:
-            self._calibrate(held)
+        # a model without every fifth segment tells what the segments it has not seen cost; with none to spare, the built-in sentences are cut in two
+        held = clean[::5] if labelled else [(c, t[len(t) // 2 :]) for c, t in clean]
+        self.model = self._model([x for i, x in enumerate(clean) if i % 5] if labelled else [(c, t[: len(t) // 2]) for c, t in clean], seeds=bool(labelled))
+        self.temperature = 4.0
+        self._calibrate(held)
+        if not labelled:
+            self.model = self._model(clean)
 
     @staticmethod
-    def _model(rows: list[tuple[str, str]]) -> KneserNey:
-        return KneserNey({c: [SEED[c]] + [s for k, s in rows if k == c] for c in LANGUAGES})
+    def _model(rows: list[tuple[str, str]], seeds: bool = True) -> KneserNey:
+        return KneserNey({c: [SEED[c]] * seeds + [s for k, s in rows if k == c] for c in LANGUAGES})
 
     def _calibrate(self, held: list[tuple[str, str]]) -> None:
         total, n = self.model.scores([s for _, s in held])
@@ -290,11 +291,15 @@ class Identifier:
             return -np.log(p[np.arange(len(z)), truth] / p.sum(axis=1) + 1e-12).mean()
 
         self.temperature = min((2.0, 3.0, 4.0, 6.0, 8.0, 12.0), key=loss)
+        # held-out segments of n letters cost level[k] a letter, give or take a spread that falls with sqrt(n); three times what all but one in a hundred
+        # (whose label may be wrong) exceed it by is rejected
         entropy = -total[np.arange(len(truth)), truth] / n
+        self.level = np.full(len(LANGUAGES), np.average(entropy, weights=n))
         for k in range(len(LANGUAGES)):
-            own = entropy[truth == k]
-            if len(own) >= 10:
-                self.ceiling[k] = own.max() + 1.5
+            if (truth == k).any():
+                self.level[k] = np.average(entropy[truth == k], weights=n[truth == k])
+        over = (entropy - self.level[truth]) * np.sqrt(n)
+        self.reach = 3.0 * max(float(np.quantile(over, 0.99)), 3.0)
 
     def judge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language number (-1: rejected), confidence, cross-entropy and letters of each segment."""
@@ -305,7 +310,7 @@ class Identifier:
         p /= p.sum(axis=1, keepdims=True)
         best = total.argmax(axis=1)
         entropy = -total[np.arange(len(best)), best] / np.maximum(n, 1)
-        rejected = (n == 0) | (entropy > self.ceiling[best])
+        rejected = (n == 0) | (entropy > self.level[best] + self.reach / np.sqrt(np.maximum(n, 1)))
         return np.where(rejected, -1, best), np.where(rejected, 0.0, p[np.arange(len(best)), best]), entropy, n
 
 
@@ -372,10 +377,22 @@ def identify(rows: DataFrame, identifier: Identifier) -> DataFrame:
 
 
 def documents_languages(segments: DataFrame, sure: float = 0.95, least_letters: int = 8) -> DataFrame:
-    """(id, lang, letters, confidence): the languages really present in each document. A character of Chinese or Japanese says as much as two letters."""
+    """(id, lang, letters, confidence): the languages really present in each document. A character of Chinese or Japanese says as much as two letters.
+
+    A document without any sure segment has the language with the most letters by confidence, at the confidence that it has; "und" at 0 if all are rejected.
+    """
     weight = F.when(F.col("lang").isin("zh", "ja"), 2 * F.col("letters")).otherwise(F.col("letters"))
-    good = segments.where((F.col("lang") != "und") & (F.col("confidence") >= sure) & (weight >= least_letters))
-    return good.groupBy("id", "lang").agg(F.sum("letters").alias("letters"), F.max("confidence").alias("confidence"))
+    good = (F.col("lang") != "und") & (F.col("confidence") >= sure) & (weight >= least_letters)
+    each = segments.groupBy("id", "lang").agg(
+        F.sum(F.when(good, F.col("letters"))).alias("letters"), F.max(F.when(good, F.col("confidence"))).alias("confidence"),
+        F.sum(F.col("letters") * F.col("confidence")).alias("told"), F.sum("letters").alias("all_letters"),
+    )
+    found = each.groupBy("id").agg(
+        F.collect_list(F.when(F.col("letters").isNotNull(), F.struct("lang", "letters", "confidence"))).alias("sure"),  # at most ten languages
+        F.max(F.struct(F.col("told"), F.col("lang"), F.col("all_letters").alias("letters"), F.coalesce(F.col("told") / F.nullif("all_letters", F.lit(0)), F.lit(0.0)).alias("confidence"))).alias("best"),
+    )
+    best = F.array(F.struct(F.col("best.lang").alias("lang"), F.col("best.letters").alias("letters"), F.col("best.confidence").alias("confidence")))
+    return found.select("id", F.explode(F.when(F.size("sure") > 0, F.col("sure")).otherwise(best)).alias("x")).select("id", "x.lang", "x.letters", "x.confidence")
 
 
 def relabel(rows: DataFrame, per_label: int = 200) -> DataFrame:

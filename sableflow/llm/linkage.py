@@ -32,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sableflow.functions.joins import join_small
 from sableflow.session import cut, saved
 
 LEVELS = {"names": 3, "numbers": 3, "wording": 3, "gap": 3}
-_WORD = re.compile(r"[^\W_]+(?:[.,]\d+)*")
+# scripts without spaces: their words are taken as pairs of characters
+_UNSPACED = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_WORD = re.compile(rf"[{_UNSPACED}]+|(?:(?![{_UNSPACED}])[^\W_])+(?:[.,]\d+)*")
+_RUN = re.compile(rf"[{_UNSPACED}]")
 _CUT = re.compile(r"(?:…|\.\.\.)\s*(?:$|[|(\-–—])")
 _DIGITS = re.compile(r"\d")
 
@@ -46,14 +50,17 @@ _FOLD = str.maketrans(MARKED, PLAIN)
 
 
 def words_of(title: str) -> list[str]:
-    return [w.lower().translate(_FOLD) for w in _WORD.findall(title)]
+    out = []
+    for w in _WORD.findall(title):
+        out += [w[i : i + 2] for i in range(max(len(w) - 1, 1))] if _RUN.match(w) else [w.lower().translate(_FOLD)]
+    return out
 
 
 def close(a: str, b: str) -> bool:
-    """Whether one letter changed, dropped, added or swapped with its neighbour makes them equal. Names are short and alike, so more would join different ones."""
+    """Whether one letter changed, dropped, added or swapped with its neighbour makes them equal. Names are short and alike, so more would join different ones; under four letters none does."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 1:
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 3 or max(len(a), len(b)) < 4:
         return False
     n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     if len(a) == len(b):
@@ -96,8 +103,11 @@ def compare(left: list[str], names: list[str], right: list[str], right_title: st
 
 
 def prepare(rows: DataFrame) -> DataFrame:
-    """Distinct (title, us) with an id of their own: key, title, us, words."""
-    split = F.expr(rf"transform(regexp_extract_all(title, '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+(?:[.,][\\p{{Nd}}]+)*', 0), w -> translate(lower(w), '{MARKED}', '{PLAIN}'))")
+    """Distinct (title, us) with an id of their own: key, title, us, words. Runs of unspaced scripts give their pairs of characters."""
+    split = F.expr(
+        rf"flatten(transform(regexp_extract_all(title, '[{_UNSPACED}]+|[\\p{{L}}\\p{{M}}\\p{{Nd}}&&[^{_UNSPACED}]]+(?:[.,][\\p{{Nd}}]+)*', 0), w -> "
+        rf"if(w rlike '^[{_UNSPACED}]', transform(sequence(1, greatest(char_length(w) - 1, 1)), i -> substring(w, i, 2)), array(translate(lower(w), '{MARKED}', '{PLAIN}')))))"
+    )
     x = rows.where("title is not null and us is not null").select(F.trim("title").alias("title"), "us").distinct()
     return x.withColumn("words", split).withColumn("key", F.xxhash64("title", "us"))
 
@@ -110,7 +120,7 @@ def rare_words(left: DataFrame, right: DataFrame, share: float = 0.002, slack: i
     both = left.select("title", "words").unionByName(right.select("title", "words")).dropDuplicates(["title"])
     n = both.count()
     count = both.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    usable = (F.length("word") > 3) & ~F.col("word").rlike(r"\d")
+    usable = ((F.length("word") > 3) & ~F.col("word").rlike(r"\d")) | F.col("word").rlike(f"^[{_UNSPACED}]")
     frequent = count.where(usable & (F.col("df") > share * n + slack)).select("word")
     sides = left.select("title", "words", F.lit(True).alias("l")).unionByName(right.select("title", "words", F.lit(False).alias("l")))
     inside = sides.where((F.col("title") != F.lower("title")) & (F.col("title") != F.upper("title"))).select("title", "l", F.posexplode("words").alias("pos", "word")).where("pos > 0")
@@ -149,16 +159,27 @@ def with_names(side: DataFrame, rare: DataFrame, capitals: bool) -> DataFrame:
 def _blocks(side: DataFrame, bins: list[int], width: int) -> DataFrame:
     """(key, us, bin, block): the names of a title, whole and by both ends, in the time bins given relative to its own."""
     x = side.select("key", "us", F.floor(F.col("us") / width).alias("bin"), F.explode(F.array_union("names", "hot")).alias("w"))
-    kinds = F.array(F.concat(F.lit("w"), "w"), F.concat(F.lit("a"), F.left("w", F.lit(5))), F.concat(F.lit("z"), F.right("w", F.lit(5))))
+    whole = F.concat(F.lit("w"), "w")
+    kinds = F.when(F.length("w") < 4, F.array(whole)).otherwise(F.array(whole, F.concat(F.lit("a"), F.left("w", F.lit(5))), F.concat(F.lit("z"), F.right("w", F.lit(5)))))
     x = x.select("key", "us", "bin", F.explode(kinds).alias("block"))
     return x.select("key", "us", F.explode(F.array(*(F.col("bin") + k for k in bins))).alias("bin"), "block").distinct()
 
 
-def candidates(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Distinct (a, b) of keys that share a block and lie at most `width` microseconds apart."""
+def candidates(left: DataFrame, right: DataFrame, width: int, most: int = 500) -> DataFrame:
+    """Distinct (a, b) of keys that share a block and lie at most `width` microseconds apart.
+
+    Blocks with more than `most` right rows are dealt out: their right rows over pieces by their keys, their left rows to every piece.
+    """
     a = _blocks(left, [-1, 0, 1], width).withColumnsRenamed({"key": "a", "us": "us_a"})
-    b = _blocks(right, [0], width).withColumnsRenamed({"key": "b", "us": "us_b"})
-    return a.join(b, ["bin", "block"]).where(F.abs(F.col("us_a") - F.col("us_b")) <= width).select("a", "b").distinct()
+    b = cut(_blocks(right, [0], width).withColumnsRenamed({"key": "b", "us": "us_b"}))
+    hot = cut(b.groupBy("bin", "block").agg(F.ceil(F.count("*") / most).alias("pieces")).where("pieces > 1"))
+    on = ["bin", "block"]
+    if not hot.isEmpty():
+        pieces = F.coalesce("pieces", F.lit(1))
+        a = join_small(a, hot, on).select("a", "us_a", *on, F.explode(F.sequence(F.lit(1).cast("bigint"), pieces)).alias("piece"))
+        b = join_small(b, hot, on).select("b", "us_b", *on, (F.pmod(F.col("b"), pieces) + 1).alias("piece"))
+        on = [*on, "piece"]
+    return a.join(b, on).where(F.abs(F.col("us_a") - F.col("us_b")) <= width).select("a", "b").distinct()
 
 
 class Patterns:
@@ -291,6 +312,7 @@ def link(left: DataFrame, right: DataFrame, max_gap_us: int = 48 * 3_600_000_000
     fitted = Patterns(counts)
     posterior = F.create_map(*(F.lit(x) for k, v in fitted.posterior.items() for x in ("".join(map(str, k)), float(v))))
     found = levelled.withColumn("confidence", posterior[F.concat(*LEVELS)]).where(F.col("confidence") >= threshold).select("a", "b", "confidence")
-    key = F.xxhash64(F.trim("title"), "us")
-    la, rb = left.select(F.col("id").alias("left_id"), key.alias("a")), right.select(F.col("id").alias("right_id"), key.alias("b"))
-    return found.join(la, "a").join(rb, "b").select("left_id", "right_id", "confidence")
+    # the keys are hashes; title and instant decide
+    named = found.join(a.select(F.col("key").alias("a"), F.col("title").alias("title_a"), F.col("us").alias("us_a")), "a").join(b.select(F.col("key").alias("b"), F.col("title").alias("title_b"), F.col("us").alias("us_b")), "b")
+    la, rb = (side.select(F.col("id").alias(f"{name}_id"), F.trim("title").alias(f"title_{c}"), F.col("us").alias(f"us_{c}")) for side, name, c in ((left, "left", "a"), (right, "right", "b")))
+    return named.join(la, ["title_a", "us_a"]).join(rb, ["title_b", "us_b"]).select("left_id", "right_id", "confidence")

@@ -46,7 +46,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relabel(_labelled(spark, sf_dir)).select(F.col("id").alias("news_no"), "lang")
+    return relabel(_labelled(spark, sf_dir)).where("lang != 'und'").select(F.col("id").alias("news_no"), "lang")
 
 
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_relabel(spark):
     out = {}
     for r in relabel(spark.createDataFrame(rows, "id bigint, title string, text string, label string")).collect():
         out.setdefault(r.id, set()).add(r.lang)
-    assert out == {2: {"en"}, 3: {"en"}, 5: {"de", "fr"}, 20: {"de", "en"}}
+    assert out == {2: {"en"}, 3: {"en"}, 5: {"de", "fr"}, 8: {"und"}, 20: {"de", "en"}}  # 8 has no letters
 
 
 def test_empty(spark):
@@ -85,3 +85,13 @@ def test_held_out_accuracy(spark):
     assert wrong < 0.13  # about a tenth of the labels is wrong by design
     scripts = top.where(F.col("text").rlike("^[\\p{IsCyrillic}]")).where("lang != 'ru'").count()
     assert scripts == 0
+
+
+def test_other_languages_are_rejected(spark):
+    """Italian and Polish are none of the ten: with models of the built-in sentences alone, and with fitted ones, they are rejected or unsure."""
+    news = spark.read.parquet("/root/testdata/sf0.01/news.parquet").select(F.col("news_no").alias("id"), "title", "text", label_code(F.get_json_object("metadata", "$.language")).alias("label"))
+    other = ["La raffineria ha ridotto la produzione di zucchero perché il raccolto è stato scarso quest'anno.", "Rafineria zmniejszyła produkcję cukru, ponieważ zbiory były w tym roku słabe."]
+    for model in (Identifier([]), fit(news)):
+        lang, confidence, _, _ = model.judge(other)
+        assert all(k == -1 or c < 0.95 for k, c in zip(lang, confidence, strict=True))
+    assert [LANGUAGES[k] for k in model.judge([EN, DE, FR])[0]] == ["en", "de", "fr"]

@@ -1,6 +1,6 @@
 import random
 
-from sableflow.llm.linkage import Patterns, close, compare, link, number_of, words_of
+from sableflow.llm.linkage import Patterns, candidates, close, compare, link, number_of, prepare, rare_words, with_names, words_of
 
 LEFT = "id bigint, title string, us bigint, key string"
 HOUR = 3_600_000_000
@@ -88,3 +88,31 @@ def test_frequent_names_count():
     assert compare(words_of(a), ["narbo"], words_of(other), other)[0] == 0
     assert compare(words_of(a), ["narbo"], words_of(other), other, ["xarul", "metals"])[0] == 1
     assert compare(words_of(a), ["narbo", "seeks"], words_of("Brex Metals"), "Brex Metals", ["xarul", "metals"])[0] == 0
+
+
+def test_unspaced_titles_link(spark):
+    """Chinese headlines have no spaces: their names are pairs of characters."""
+    rng = random.Random(6)
+    name = lambda: "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(4))
+    left, right, truth, t = [], [], set(), 0
+    for i in range(60):
+        t += 20 * HOUR
+        a, b, k = name(), name(), rng.randrange(100, 999)
+        left.append((i, f"{a}糖业宣布停止压榨，{b}港口积压{k}吨", t, "k"))
+        if i % 2:
+            right.append((1000 + i, f"快讯：{a}糖厂停止压榨，{b}港积压{k}吨", t + 3 * HOUR, "k"))
+            truth.add((i, 1000 + i))
+        else:
+            right.append((1000 + i, f"{name()}糖业宣布停止压榨，{name()}港口积压{rng.randrange(100, 999)}吨", t + HOUR, "k"))
+    got = {(r.left_id, r.right_id) for r in link(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, LEFT)).collect()}
+    assert truth <= got and len(got - truth) <= 2
+    assert words_of("糖业3.5吨 Ulm") == ["糖业", "3.5", "吨", "ulm"]
+
+
+def test_hot_blocks_are_dealt_out(spark, monkeypatch):
+    left, right, truth = headlines(30)
+    a, b = prepare(spark.createDataFrame(left, LEFT)), prepare(spark.createDataFrame(right, LEFT))
+    rare = rare_words(a, b)
+    a, b = with_names(a, rare, True), with_names(b, rare, False)
+    whole = {tuple(r) for r in candidates(a, b, 48 * HOUR).collect()}
+    assert whole and {tuple(r) for r in candidates(a, b, 48 * HOUR, most=1).collect()} == whole
