@@ -157,29 +157,35 @@ def with_names(side: DataFrame, rare: DataFrame, capitals: bool) -> DataFrame:
 
 
 def _blocks(side: DataFrame, bins: list[int], width: int) -> DataFrame:
-    """(key, us, bin, block): the names of a title, whole and by both ends, in the time bins given relative to its own."""
-    x = side.select("key", "us", F.floor(F.col("us") / width).alias("bin"), F.explode(F.array_union("names", "hot")).alias("w"))
+    """(key, us, bin, block, word, named): the names and hot words of a title, whole and by both ends, in the time bins given relative to its own."""
+    x = side.select("key", "us", F.floor(F.col("us") / width).alias("bin"), F.size(F.array_distinct("names")).alias("n"), F.posexplode(F.array_union("names", "hot")).alias("word", "w"))
     whole = F.concat(F.lit("w"), "w")
     kinds = F.when(F.length("w") < 4, F.array(whole)).otherwise(F.array(whole, F.concat(F.lit("a"), F.left("w", F.lit(5))), F.concat(F.lit("z"), F.right("w", F.lit(5)))))
-    x = x.select("key", "us", "bin", F.explode(kinds).alias("block"))
-    return x.select("key", "us", F.explode(F.array(*(F.col("bin") + k for k in bins))).alias("bin"), "block").distinct()
+    x = x.select("key", "us", "bin", "word", (F.col("word") < F.col("n")).alias("named"), F.explode(kinds).alias("block"))
+    return x.select("key", "us", F.explode(F.array(*(F.col("bin") + k for k in bins))).alias("bin"), "block", "word", "named")
 
 
 def candidates(left: DataFrame, right: DataFrame, width: int, most: int = 500) -> DataFrame:
     """Distinct (a, b) of keys that share a block and lie at most `width` microseconds apart.
 
+    Where no name is among what they share, half of the left title's names and hot words must be, or the right title be cut off: others can't agree.
     Blocks with more than `most` right rows are dealt out: their right rows over pieces by their keys, their left rows to every piece.
     """
     a = _blocks(left, [-1, 0, 1], width).withColumnsRenamed({"key": "a", "us": "us_a"})
-    b = cut(_blocks(right, [0], width).withColumnsRenamed({"key": "b", "us": "us_b"}))
+    a = a.join(left.select(F.col("key").alias("a"), F.size(F.array_union("names", "hot")).alias("of")), "a")
+    cut_off = right.select(F.col("key").alias("b"), F.col("title").rlike(_CUT.pattern).alias("cut_off"))
+    b = _blocks(right, [0], width).select(F.col("key").alias("b"), F.col("us").alias("us_b"), "bin", "block").distinct()
+    b = cut(b.join(cut_off, "b"))
     hot = cut(b.groupBy("bin", "block").agg(F.ceil(F.count("*") / most).alias("pieces")).where("pieces > 1"))
     on = ["bin", "block"]
     if not hot.isEmpty():
         pieces = F.coalesce("pieces", F.lit(1))
-        a = join_small(a, hot, on).select("a", "us_a", *on, F.explode(F.sequence(F.lit(1).cast("bigint"), pieces)).alias("piece"))
-        b = join_small(b, hot, on).select("b", "us_b", *on, (F.pmod(F.col("b"), pieces) + 1).alias("piece"))
+        a = join_small(a, hot, on).select("a", "us_a", "word", "named", "of", *on, F.explode(F.sequence(F.lit(1).cast("bigint"), pieces)).alias("piece"))
+        b = join_small(b, hot, on).select("b", "us_b", "cut_off", *on, (F.pmod(F.col("b"), pieces) + 1).alias("piece"))
         on = [*on, "piece"]
-    return a.join(b, on).where(F.abs(F.col("us_a") - F.col("us_b")) <= width).select("a", "b").distinct()
+    met = a.join(b, on).where(F.abs(F.col("us_a") - F.col("us_b")) <= width)
+    told = met.groupBy("a", "b").agg(F.max("named").alias("named"), F.max("cut_off").alias("cut_off"), F.expr("bit_or(shiftleft(1L, least(word, 62)))").alias("words"), F.max("of").alias("of"))
+    return told.where(F.col("named") | F.col("cut_off") | (F.col("of") > 62) | (2 * F.bit_count("words") >= F.col("of"))).select("a", "b")
 
 
 class Patterns:
