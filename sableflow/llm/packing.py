@@ -26,14 +26,13 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 PLACED = "window string, doc_id bigint, token_from bigint, token_to bigint, left_open boolean"
 
 
-def token_counter(path: str = TOKENIZER) -> Callable[[list[str]], list[int]]:
-    """Sizes of texts in tokens of a tokenizer file with one "base64 rank" pair a line."""
+def token_counter(content: bytes) -> Callable[[list[str]], list[int]]:
+    """Sizes of texts in tokens of a tokenizer file's content, one "base64 rank" pair a line."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
     encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
 
@@ -82,14 +81,18 @@ def pack(documents: DataFrame, capacity: int = 2048, most_open: int = 64, tokeni
 
     The open windows of about merge_fan partitions at a time are merged, so a merging task holds a bounded number of them.
     """
+    from pathlib import Path
+
     from sableflow.session import cut
 
+    content = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())  # only the driver needs the file; a vocabulary has a few megabytes
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, packer, n, tag = None, Packer(capacity, most_open), 0, ""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            count = count or token_counter(tokenizer)
+            count = count or token_counter(content.value)
             ids = batch.column(0).to_pylist()
             tag = tag or f"{ids[0]}-"
             full: list[tuple[str, list, bool]] = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sableflow.llm.arrivals import ArrivalStore
@@ -16,7 +16,7 @@ from sableflow.llm.packing import fill_rate, pack
 from sableflow.llm.sentences import split_sentences
 from sableflow.llm.splitting import LIMIT, split_texts
 from sableflow.operators.timestamps import normalise, stated_times
-from sableflow.session import shared_folder, table
+from sableflow.session import cut, shared_folder, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,27 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(long.select(F.col("news_no").alias("id"), "text"), LIMIT).withColumnRenamed("id", "news_no")
 
 
+def p7_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each text without what they repeat, joined: a digest of it, how many there are, the longest piece, and whether every repeat is the end of what comes before."""
+    x = p7_pieces(spark, sf_dir).withColumn("core", F.expr("substring(piece, n_overlap + 1)"))
+    repeats = F.expr("left(piece, n_overlap)")
+    w = Window.partitionBy("news_no").orderBy("piece_no")
+    x = x.withColumn("ok", (F.col("piece_no") == 1) | F.lag("piece").over(w).endswith(repeats))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "core"))), lambda p: p["core"])
+    longest = (F.max(F.char_length("piece")) <= LIMIT).alias("within")
+    repeated = (F.max("n_overlap") <= 200).alias("repeats_within")
+    return x.groupBy("news_no").agg(F.md5(F.array_join(parts, "")).alias("text_key"), longest, repeated, F.bool_and("ok").alias("repeats_fit"), F.sum(F.char_length("core")).alias("n_chars"))
+
+
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the documents with tokens were placed: how many there are, whether every token is in one window only, and whether any window holds more than its capacity."""
+    x = cut(p8_pack(spark, sf_dir))
+    each = x.groupBy("doc_id").agg(F.min("token_from").alias("first"), F.max("token_to").alias("last"), F.sum(F.col("token_to") - F.col("token_from")).alias("n"))
+    whole = each.select(F.lit(1).alias("document"), ((F.col("first") == 0) & (F.col("last") == F.col("n"))).alias("once"), F.lit(0).cast("bigint").alias("held"))
+    held = x.groupBy("window").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("held")).select(F.lit(0).alias("document"), F.lit(True).alias("once"), "held")
+    return whole.unionByName(held).agg(F.sum("document").alias("documents"), F.bool_and("once").alias("each_token_once"), (F.max("held") <= 2048).alias("within_capacity"))
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -92,9 +113,11 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_segments": p5_segments, "p6_found": p6_found, "p6_links": p6_links,
-    "p7_found": p7_found, "p7_pieces": p7_pieces,
-    "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found,
+    "p7_found": p7_found, "p7_pieces": p7_pieces, "p7_joined": p7_joined,
+    "p8_pack": p8_pack, "p8_fill": p8_fill, "p8_placed": p8_placed, "p9_found": p9_found, "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = {
     "p7_found": "SELECT news_no FROM news WHERE length(text) > 4000",
+    "p7_joined": "SELECT news_no, md5(text) AS text_key, true AS within, true AS repeats_within, true AS repeats_fit, length(text) AS n_chars FROM news WHERE length(text) > 4000",
+    "p8_placed": "SELECT count(*) AS documents, true AS each_token_once, true AS within_capacity FROM documents WHERE text IS NOT NULL AND text <> ''",
 }

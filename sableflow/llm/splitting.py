@@ -55,11 +55,16 @@ def split_texts(rows: DataFrame, limit: int = LIMIT, overlap: int = 200) -> Data
     x = rows.withColumn("first", F.when(small, F.col("text")).otherwise(first))
     x = x.withColumn("tail", F.when(small, F.lit("")).otherwise(tail))
     x = x.withColumn("cores", F.concat(F.array("first"), F.when(F.col("tail") == "", F.array().cast("array<string>")).otherwise(cores)))
-    sized = F.transform("cores", lambda c: F.char_length(c))
-    starts = F.aggregate(sized, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    out = x.select("id", "text", starts.alias("starts"), F.posexplode("cores").alias("n", "core"))
-    out = out.select("id", "text", "n", F.element_at("starts", F.col("n") + 1).alias("start_pos"), "core")
-    before = F.substring("text", F.greatest(F.col("start_pos") - overlap, F.lit(1)), F.least(F.col("start_pos"), F.lit(overlap + 1)))
-    kept = F.when((F.col("n") > 0) & F.lit(overlap > 0), overlap_of(before, overlap)).otherwise("")
-    out = out.select("id", (F.col("n") + 1).alias("piece_no"), "start_pos", kept.alias("kept"), "core")
-    return out.select("id", "piece_no", "start_pos", F.char_length("kept").alias("n_overlap"), F.concat("kept", "core").alias("piece"))
+    # finished pieces, then one row each: the text itself is not carried along
+    sizes = F.transform("cores", lambda c: F.char_length(c))
+
+    def piece(core: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda acc, n: acc + n)
+        last = F.element_at("cores", F.greatest(i, F.lit(1)))
+        reach = F.least(i, F.lit(overlap + 1))  # so many pieces have as many characters
+        further = F.array_join(F.transform(F.slice("cores", i - reach + 1, reach), lambda c: F.right(c, F.lit(overlap + 1))), "")
+        before = F.right(F.when(F.char_length(last) > overlap, last).otherwise(further), F.lit(overlap + 1))
+        kept = F.when((i > 0) & F.lit(overlap > 0), overlap_of(before, overlap)).otherwise("")
+        return F.struct((i + 1).alias("piece_no"), start.alias("start_pos"), F.char_length(kept).alias("n_overlap"), F.concat(kept, core).alias("piece"))
+
+    return x.withColumn("sizes", sizes).select("id", F.inline(F.transform("cores", piece)))

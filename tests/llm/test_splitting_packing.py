@@ -59,12 +59,14 @@ def test_packer_never_overflows():
 
 
 def test_every_token_once(spark):
-    from sableflow.llm.packing import token_counter
+    from pathlib import Path
+
+    from sableflow.llm.packing import TOKENIZER, token_counter
 
     docs = [(i, "sugar " * n, "w") for i, n in enumerate([1, 5, 5, 30, 64, 65, 200, 1000, 3, 7])] + [(90, None, None), (91, "", None)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, window string").repartition(3)
     placed = pack(df, capacity=64, most_open=2).collect()
-    count = token_counter()
+    count = token_counter(Path(TOKENIZER).read_bytes())
     by_doc, by_window = {}, {}
     for r in placed:
         by_doc.setdefault(r.doc_id, []).append((r.token_from, r.token_to))
