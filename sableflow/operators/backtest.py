@@ -49,7 +49,7 @@ def _both(x: Node) -> Node:
 
 def streams() -> dict[str, Node]:
     return {
-        "price": s.ts_mean(_both(stream("price")), 21), "volume": _both(stream("volume")), "oi": _both(stream("oi")),
+        "price": _both(stream("price")), "volume": _both(stream("volume")), "oi": _both(stream("oi")),
         "sentiment": _both(stream("sentiment")), "weighted": _both(stream("weighted")),
     }
 
