@@ -242,3 +242,45 @@ def depths(df: DataFrame, node: str, parent: str, most: int = 60) -> DataFrame:
 def union_all(*parts: DataFrame) -> DataFrame:
     """By name; columns a part lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def not_in(df: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:
+    """Rows as NOT IN gives them: none if the other side has a null, none with a null of their own unless the other side is empty."""
+    keys = other.select(F.col(key).alias("_k")).distinct()
+    nulls = keys.where("_k is null").limit(1).count()
+    if nulls:
+        return df.limit(0)
+    left = df.join(keys, F.col(column) == F.col("_k"), "left_anti")
+    return left if keys.isEmpty() else left.where(F.col(column).isNotNull())
+
+
+def allocate_by_worth(df: DataFrame, name: str, worth: list[str], total: int) -> DataFrame:
+    """Shares of `total` by the product of the columns, rounded down but at least 1.
+
+    Where the ones of small shares take the sum over the total, all shares are scaled down in proportion (and stay at 1
+    at least); what is left goes one by one to the heaviest.
+    """
+    product = F.lit(1.0)
+    for c in worth:
+        product = product * F.coalesce(F.col(c), F.lit(0.0))
+    x = df.select(name, product.alias("_w"))
+    x = x.join(F.broadcast(x.agg(F.sum("_w").alias("_sum"))))  # one row
+    x = x.withColumn("_base", F.greatest(F.lit(1), F.floor(F.try_divide(F.col("_w"), F.col("_sum")) * total).cast("int")))
+    x = x.join(F.broadcast(x.agg(F.sum("_base").alias("_all"))))  # one row
+    x = x.withColumn("_base", F.when(F.col("_all") > total, F.greatest(F.lit(1), F.floor(F.col("_base") * total / F.col("_all")).cast("int"))).otherwise(F.col("_base")))
+    spare = x.agg((F.lit(total) - F.sum("_base")).alias("_spare"))
+    ranked = x.join(F.broadcast(spare)).withColumn("_rn", F.row_number().over(Window.orderBy(F.desc("_w"), name)))  # one row per name
+    return ranked.select(name, (F.col("_base") + F.when(F.col("_rn") <= F.col("_spare"), 1).otherwise(0)).cast("int").alias("quota"))
+
+
+def with_topic(df: DataFrame, topics: str, topic: str) -> DataFrame:
+    """Rows whose topics (a JSON text: one topic, a list, or objects with an id) hold the topic; rows without readable topics stay out."""
+    plain = F.from_json(topics, "array<string>")
+    ids = F.transform(F.coalesce(plain, F.array(F.trim(topics))), lambda x: F.coalesce(F.get_json_object(x, "$.id"), F.get_json_object(x, "$"), F.trim(x)))
+    return df.where(F.array_contains(ids, topic))
+
+
+def key_of_minute(at: str, title: str, letters: int = 50) -> Column:
+    """A key for rows without one: the instant rounded to the minute and the beginning of the title."""
+    minute = F.date_format(F.date_trunc("minute", F.col(at) + F.expr("interval 30 seconds")), "yyyy-MM-dd HH:mm")
+    return F.concat(minute, F.lit("_"), F.left(title, F.lit(letters)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sableflow.plans import backtests, core_problems, marts, signals, streams, texts, warehouse
+from sableflow.plans import backtests, core_problems, evaluations, marts, signals, storage, streams, texts, warehouse
 
-_MODULES = [core_problems, backtests, signals, warehouse, texts, streams, marts]
+_MODULES = [core_problems, backtests, signals, warehouse, texts, streams, marts, storage, evaluations]
 
 
 def queries() -> dict:

@@ -59,7 +59,46 @@ def best_generation(results: DataFrame) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """(name, i, values array<double>) of the rows of every array in an .npz file; each file is opened by one task."""
+    """(name, i, values array<double>) of the rows of every array in .npz files; each file is opened by one task."""
+    return arrays_of(spark.read.format("binaryFile").load(path)).drop("path")
+
+
+def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    df.write.mode("append" if append else "overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Appends rows without header; the header stands once, in _header, which readers of the folder pass over. `cat _header part-*` is one file with a header."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_header")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("append").option("header", False).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    if not fs.exists(at):
+        out = fs.create(at)
+        out.write((",".join(df.columns) + "\n").encode())
+        out.close()
+
+
+def write_arrays(df: DataFrame, path: str) -> None:
+    """(file, name, i, values) as one .npz per file name: every task writes the files it has gathered, a file being one array set of bounded size."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+
+    import pandas as pd
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+
+        import numpy as np
+
+        out = io.BytesIO()
+        np.savez(out, **{n: np.array([list(v) for v in g.sort_values("i")["values"]]) for n, g in pdf.groupby("name")})
+        return pd.DataFrame({"path": [key[0]], "modificationTime": [pd.Timestamp(0)], "length": [out.tell()], "content": [out.getvalue()]})
+
+    df.groupBy("file").applyInPandas(of, schema).write.mode("overwrite").parquet(path)
+
+
+def arrays_of(files: DataFrame) -> DataFrame:
+    """(path, name, i, values) of the .npz contents in a table (path, content)."""
 
     def of(batches):  # noqa: ANN001, ANN202
         import io
@@ -68,17 +107,13 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with np.load(io.BytesIO(content)) as z:
                     for name in z.files:
                         rows = np.atleast_2d(z[name].astype(np.float64)) if z[name].ndim != 1 else z[name].astype(np.float64)[:, None]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([list(r) for r in rows], pa.list_(pa.float64()))], names=["name", "i", "values"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(of, "name string, i int, values array<double>")
-
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([list(r) for r in rows], pa.list_(pa.float64()))], names=["path", "name", "i", "values"])
 
-def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return files.select("path", "content").mapInArrow(of, "path string, name string, i int, values array<double>")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

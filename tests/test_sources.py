@@ -2,6 +2,7 @@ import json
 import sqlite3
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sableflow.sources import connectors, files
@@ -121,3 +122,34 @@ def test_runs_of_states(spark, tmp_path):
     _files(spark, tmp_path / "in", [[("a", d(2024, 1, 1, i), 0.0, s) for i, s in enumerate("xxyyyx")]], "k string, t timestamp_ntz, v double, s string")
     out = streams.run_available(streams.runs(streams.file_stream(spark, str(tmp_path / "in")), "k", "t", "s")).orderBy("run").collect()
     assert [(r.state, r.n) for r in out] == [("x", 2), ("y", 3)]
+
+
+def test_appends_write_what_is_new_only_and_rewrites_refuse_to_lose_rows(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"), "k int, v string")
+    for k in range(3):
+        t.append(spark.createDataFrame([(k, "a")], "k int, v string"))
+    assert [n.split("-")[1] for n in t._parts()] == ["add"] * 3 and t.read().count() == 3
+    since = t._last()
+    t.append(spark.createDataFrame([(9, "b")], "k int, v string"))
+    with pytest.raises(RuntimeError):
+        t.replace(t.read().where("k = 0"), since)
+    assert t.read().count() == 4
+    t.compact()
+    assert [n.split("-")[1] for n in t._parts()] == ["all"] and t.read().count() == 4
+    assert not t._take(0) and t._take(t._last() + 1)
+
+
+def test_deleted_repeats_are_reported(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "d"), "k int, s string, v string")
+    t.append(spark.createDataFrame([(1, None, "x"), (2, None, "x"), (3, "a", None), (4, "a", None), (None, "a", None), (5, "b", "y")], "k int, s string, v string"))
+    assert t.delete_repeats(["s", "v"], "k") == {"before": 6, "after": 3, "deleted": 3}
+    assert sorted(r.k for r in t.read().collect()) == [2, 4, 5]
+    empty = Table(spark, str(tmp_path / "e"), "k int")
+    assert empty.delete_repeats(["k"], "k")["deleted"] == 0
+
+
+def test_csv_with_one_header(spark, tmp_path):
+    for v in (1, 2):
+        files.append_csv(spark.createDataFrame([(v, "a,b")], "k int, s string"), str(tmp_path / "h"))
+    assert (tmp_path / "h" / "_header").read_text() == "k,s\n"
+    assert sorted(map(tuple, files.read_delimited(spark, str(tmp_path / "h"), "k int, s string", sep=",").collect())) == [(1, "a,b"), (2, "a,b")]
