@@ -60,3 +60,35 @@ def _query(program: Program) -> Callable[[SparkSession, str], DataFrame]:
 _PROGRAMS = {f"op_{k}": Program(v) for k, v in OPERATORS.items()} | {f"family_{k}": Program(v) for k, v in FAMILIES.items()}
 QUERIES = {k: _query(p) for k, p in _PROGRAMS.items()}
 ORACLE = {k: p.sql(PANEL_SQL) for k, p in _PROGRAMS.items()}
+
+# SQL of composites written by hand, not by the compiler that also makes their plan
+_FILLED = f"""WITH p AS ({PANEL_SQL}),
+f AS (SELECT date, asset, last_value(close_price IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM p),
+g AS (SELECT *, c - lag(c) OVER (PARTITION BY asset ORDER BY date) AS d, c / nullif(lag(c) OVER (PARTITION BY asset ORDER BY date), 0) - 1 AS r FROM f)"""
+
+
+def _rsi_sql(n: int) -> str:
+    w = f"OVER (PARTITION BY asset ORDER BY date ROWS {n - 1} PRECEDING)"
+    return f"""SELECT date, asset, CASE WHEN rows = {n} THEN CASE WHEN round(loss, 9) = 0 THEN CASE WHEN round(gain, 9) > 0 THEN 100.0 END ELSE 100 - 100 / (1 + gain / loss) END END AS r{n}
+FROM (SELECT date, asset, count(*) {w} AS rows, avg(CASE WHEN round(d, 9) > 0 THEN d ELSE 0 END) {w} AS gain, avg(CASE WHEN round(d, 9) < 0 THEN -d ELSE 0 END) {w} AS loss FROM g)"""
+
+
+_ALL = "OVER (PARTITION BY asset)"
+
+
+def _full(value: str, n: int, of: str = "x") -> str:
+    """An aggregate over n rows that all have a value."""
+    w = f"OVER (PARTITION BY asset ORDER BY date ROWS {n - 1} PRECEDING)"
+    return f"CASE WHEN count({of}) {w} = {n} THEN {value}({of}) {w} END"
+
+
+BY_HAND = {
+    "op_ts_rsi": f"{_FILLED}, a AS ({_rsi_sql(14)}), b AS ({_rsi_sql(5)}) SELECT date, asset, round(r14, 5) + 0.0 AS r14, round(r5, 5) + 0.0 AS r5 FROM a JOIN b USING (date, asset)",
+    "op_zscore": f"""{_FILLED}, z AS (SELECT date, asset, c, {_full('avg', 21, 'c')} AS m, {_full('stddev_samp', 21, 'c')} AS s, avg(c) {_ALL} AS am, stddev_samp(c) {_ALL} AS sd FROM f)
+SELECT date, asset, round((c - m) / nullif(s, 0), 5) + 0.0 AS rolling, round((c - am) / nullif(sd, 0), 5) + 0.0 AS history, round((c - am) / (sd + 1e-8), 5) + 0.0 AS guarded FROM z""",
+    "op_moving_average_crossover": f"{_FILLED} SELECT date, asset, round({_full('avg', 5, 'r')} - {_full('avg', 21, 'r')}, 5) + 0.0 AS x FROM g",
+    "op_volatility_regime": f"""{_FILLED}, v AS (SELECT date, asset, {_full('stddev_samp', 21, 'r')} AS x FROM g), a AS (SELECT date, asset, {_full('avg', 10)} AS x FROM v),
+z AS (SELECT date, asset, (x - {_full('avg', s.QUARTER)}) / nullif({_full('stddev_samp', s.QUARTER)}, 0) AS z FROM a)
+SELECT date, asset, CASE WHEN round(z, 9) < 0.5 THEN 1.0 ELSE 0.25 END::DOUBLE AS r FROM z""",
+}
+ORACLE |= BY_HAND

@@ -15,8 +15,9 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n not in ORACLE])
-def test_query_runs(spark, sf, name):
-    assert registry.queries()[name](spark, sf).count() >= 0
+def test_query_without_sql_gives_rows(spark, sf, name):
+    rows = registry.queries()[name](spark, sf)
+    assert rows.columns and rows.count() > 0
 
 
 def test_entry(spark):
