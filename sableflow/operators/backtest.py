@@ -22,10 +22,13 @@ DAYS, COST, CAPITAL = 252, 2.97, 50_000.0
 
 
 def daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, asset 'ALL', close, volume, open_interest, sentiment, confidence, weighted: one row per calendar day."""
+    """date, asset 'ALL', close, volume, open_interest, sentiment, confidence, weighted: one row per calendar day.
+
+    The price is the day's mean order over a level of 1000, since orders are no market: means of a few alone would move by more than all there is.
+    """
     shifted = F.add_months(F.to_date("o_orderdate"), 312)
     prices = table(spark, sf_dir, "orders").groupBy(shifted.alias("date")).agg(
-        (F.avg("o_totalprice") / 997.0).alias("price"), F.count("*").cast("double").alias("volume"), (F.sum("o_totalprice") / 997.0).alias("oi"),
+        (F.avg("o_totalprice") / 997.0 + 1000.0).alias("price"), F.count("*").cast("double").alias("volume"), (F.sum("o_totalprice") / 997.0).alias("oi"),
     )
     moods = table(spark, sf_dir, "sot_sugar").groupBy(F.to_date("timestamp_added").alias("date")).agg(
         F.avg("sentiment").alias("sentiment"), F.avg("confidence").alias("confidence"),
@@ -37,7 +40,7 @@ def daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 MART_SQL = """
 SELECT CAST(g.date AS DATE) AS date, 'ALL' AS asset, price, volume, oi, sentiment, confidence, weighted
 FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS date FROM (SELECT CAST(CAST(o_orderdate AS DATE) + INTERVAL 312 MONTH AS DATE) AS d FROM orders)) g
-LEFT JOIN (SELECT CAST(CAST(o_orderdate AS DATE) + INTERVAL 312 MONTH AS DATE) AS date, avg(o_totalprice) / 997.0 AS price, CAST(count(*) AS DOUBLE) AS volume, sum(o_totalprice) / 997.0 AS oi
+LEFT JOIN (SELECT CAST(CAST(o_orderdate AS DATE) + INTERVAL 312 MONTH AS DATE) AS date, avg(o_totalprice) / 997.0 + 1000.0 AS price, CAST(count(*) AS DOUBLE) AS volume, sum(o_totalprice) / 997.0 AS oi
            FROM orders GROUP BY 1) p ON p.date = g.date
 LEFT JOIN (SELECT *, sentiment * confidence AS weighted FROM (SELECT CAST(timestamp_added AS DATE) AS date, avg(sentiment) AS sentiment, avg(confidence) AS confidence FROM sot_sugar GROUP BY 1)) m ON m.date = g.date
 """
